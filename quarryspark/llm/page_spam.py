@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import reliable, require
+from .common import bounded_sample, reliable, require
 
 SAMPLE, TREES, DEPTH, LEAF, BINS, SEED = 20_000, 15, 6, 5, 32, 11
 #: Weight of the host's rate against the page's own score, and pages that a host's rate is shrunk by.
@@ -262,7 +262,7 @@ def train(rows: list, trees: int = TREES) -> list[Tree]:
 def scores(documents: DataFrame, sample: int = SAMPLE, trees: int = TREES, host_weight: float = HOST_WEIGHT) -> DataFrame:
     """(doc_id, source, page_score, host_rate, score), one row per document with words."""
     features = reliable(page_features(documents))
-    rows = features.select("doc_id", "features").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+    rows = bounded_sample(features.select("doc_id", "features"), sample, "doc_id")
     shared = documents.sparkSession.sparkContext.broadcast(train(rows, trees))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

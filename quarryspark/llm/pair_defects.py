@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require
+from .common import bounded_sample, require
 
 TAGS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
@@ -272,7 +272,7 @@ def _pairs(pairs: DataFrame) -> DataFrame:
 
 
 def train(pairs: DataFrame, sample: int = SAMPLE) -> Field:
-    rows = _pairs(pairs).where("answer IS NOT NULL").orderBy(F.xxhash64("id", "question", "answer")).limit(sample).collect()
+    rows = bounded_sample(_pairs(pairs).where("answer IS NOT NULL"), sample, "id", "question", "answer")
     data = [featurize(r.question, r.answer)[0] for r in rows if not is_empty(r.answer)]
     return fit([(x, weak_tags(x)) for x in data if len(x)])
 
