@@ -1,0 +1 @@
+"""Code and document retrieval analytics on Spark DataFrames."""
