@@ -1,6 +1,6 @@
 """BM25 over an inverted index, many queries in one plan.
 
-Corpus statistics come from one pass with map-side combine; postings are cut to the query terms before they are shuffled.
+Corpus statistics come from one pass with map-side combine, settled once; postings are cut to the query terms before they are shuffled.
 A term in more than half of the documents has a negative raw idf and gets epsilon times the average over the vocabulary.
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import LIMITS
 from ..functions.text import code_tokens, index_text
+from ..sources.checkpoints import settle
 
 
 def tokenized(chunks: DataFrame) -> DataFrame:
@@ -44,6 +45,14 @@ def top(scored: DataFrame, limit: int, key: str = "query_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def vocabulary(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(document frequency, corpus statistics) of one pass over the texts: a null term stands for every document and carries its length."""
+    marked = tokens.select(F.size("tokens").alias("dl"), F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("term"))
+    counted = settle(marked.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("length")))
+    stats = counted.where("term IS NULL").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
+    return counted.where("term IS NOT NULL").select("term", "df"), stats
+
+
 def search(chunks: DataFrame, queries: DataFrame, limit: int = 5, k1: float = LIMITS.bm25_k1, b: float = LIMITS.bm25_b) -> DataFrame:
     """(query_id, rank, point_id, score) for queries(query_id, query). Repeated query terms count again; scores of 0 or less are no hits.
 
@@ -52,8 +61,8 @@ def search(chunks: DataFrame, queries: DataFrame, limit: int = 5, k1: float = LI
     tokens = tokenized(chunks)
     terms = queries.select("query_id", F.explode(code_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     wanted = terms.select("term").distinct()
-    stats = corpus_stats(tokens)
-    idf = inverse_frequency(document_frequency(tokens), stats)
+    frequency, stats = vocabulary(tokens)
+    idf = inverse_frequency(frequency, stats)
     length = F.size("tokens")
     tf = tokens.select("point_id", length.alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("point_id", "term", "dl").agg(F.count("*").alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LIMITS
@@ -87,10 +87,24 @@ def rate_limit(events: DataFrame, key: str = "user_id", calls: int = LIMITS.rate
         limiter = RateLimiter(calls, seconds)
         return lambda row: limiter.allow(row[2] or 0.0)
 
-    log = events.select("event_id", key, F.unix_micros("ts").cast("double").alias("micros")).withColumn("second", F.col("micros") / 1e6)
+    log = events.select("event_id", key, F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("micros")).withColumn("second", F.col("micros") / 1e6)
     return _fold(log, ["event_id", key, "second"], key, ["second", "event_id"], make, "allowed", "boolean")
 
 
+def trailing_calls(events: DataFrame, key: str, seconds: int) -> DataFrame:
+    """(event_id, n): calls of the event's key in the seconds before it, itself included.
+
+    A key is cut into spans of the window's length; each event is seen by its own span and the next, so a busy key is spread over its
+    spans and no task holds more than two of them.
+    """
+    width = seconds * 1_000_000
+    e = events.select("event_id", key, F.unix_micros(F.col("ts").cast("timestamp")).alias("s"))
+    span = F.floor(F.col("s") / width)
+    seen = e.select("event_id", key, "s", F.explode(F.array(F.struct(span.alias("span"), F.lit(True).alias("own")), F.struct((span + 1).alias("span"), F.lit(False).alias("own")))).alias("x")).select("event_id", key, "s", "x.*")
+    w = Window.partitionBy(key, "span").orderBy("s").rangeBetween(1 - width, 0)
+    return seen.withColumn("n", F.count("*").over(w)).where("own").select("event_id", "n")
+
+
 def cache_hits(requests: DataFrame, key: str, entries: int = LIMITS.cache_entries) -> DataFrame:
     """Requests (event_id, key, second, request) with hit: whether the answer is still cached for the key's cache."""
 
