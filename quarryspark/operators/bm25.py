@@ -20,7 +20,8 @@ def tokenized(chunks: DataFrame) -> DataFrame:
 
 
 def document_frequency(tokens: DataFrame) -> DataFrame:
-    return tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    # explode_outer: a plain explode makes the optimizer filter on the size of the array, which tokenises every text twice
+    return tokens.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def corpus_stats(tokens: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def top(scored: DataFrame, limit: int, key: str = "query_id") -> DataFrame:
 
 def vocabulary(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(document frequency, corpus statistics) of one pass over the texts: a null term stands for every document and carries its length."""
-    marked = tokens.select(F.size("tokens").alias("dl"), F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("term"))
+    marked = tokens.select(F.size("tokens").alias("dl"), F.explode_outer(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("term"))
     counted = settle(marked.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("length")))
     stats = counted.where("term IS NULL").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
     return counted.where("term IS NOT NULL").select("term", "df"), stats
@@ -64,7 +65,7 @@ def search(chunks: DataFrame, queries: DataFrame, limit: int = 5, k1: float = LI
     frequency, stats = vocabulary(tokens)
     idf = inverse_frequency(frequency, stats)
     length = F.size("tokens")
-    tf = tokens.select("point_id", length.alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("point_id", "term", "dl").agg(F.count("*").alias("tf"))
+    tf = tokens.select("point_id", length.alias("dl"), F.explode_outer("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("point_id", "term", "dl").agg(F.count("*").alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     weighted = terms.join(idf, "term")
     scored = tf.join(weighted, "term").crossJoin(F.broadcast(stats.select("avgdl"))).groupBy("query_id", "point_id").agg(F.round(F.sum(part), 6).alias("score"))
