@@ -55,6 +55,7 @@ _TS_LEAD = _JS_LEAD | {"type", "interface", "enum", "declare", "namespace", "mod
 _JAVA_LEAD = {"public", "private", "protected", "static", "final", "abstract", "native", "synchronized", "transient", "volatile", "strictfp", "default", "class", "interface", "enum", "record", "package", "import", "return", "throw", "throws", "new", "case", "else", "do", "try", "finally", "extends", "implements", "instanceof", "assert", "break", "continue", "yield", "sealed", "permits", "goto", "if", "for", "while", "switch", "catch", "non"}
 _JAVA_TOP = {"package", "import", "public", "private", "protected", "static", "final", "abstract", "strictfp", "class", "interface", "enum", "record", "sealed", "non", "@", ";"}
 _PAREN = {"if", "while", "for", "switch", "catch", "with"}
+_MUST_OPEN = {"if", "while", "for", "switch"}
 _UNARY = {"!", "~", "+", "-", "++", "--", "...", "@", "typeof"}
 _END_OK = {";", "}", ")", "]", ","}
 START, OPERAND, OPERATOR, ANY = 0, 1, 2, 3
@@ -80,7 +81,7 @@ def find_error(text: str, language: str) -> str | None:
     stack: list[_Frame] = [_Frame("", "block")]
     state, last, last2, fresh = START, "", "", True
     head = declared = ""
-    at_line = True
+    at_line, annotated = True, False
     while at < n:
         m = match(text, at)
         kind = m.lastgroup
@@ -114,16 +115,25 @@ def find_error(text: str, language: str) -> str | None:
                 head, declared = word, ""
                 if java and len(stack) == 1 and word not in _JAVA_TOP:
                     return "top"
-            before_dot = last in (".", "?.")
-            if before_dot:
-                state, last2, last = OPERAND, last, word
+            if last in (".", "?."):
+                state, last2, last = OPERAND, last, "final" if annotated else word
                 fresh = False
                 continue
             if java and word in ("const", "goto", "function", "export", "let") and state == START:
                 return "other"
+            if java and last == "@" and word != "interface":
+                # an annotation is a modifier of what follows
+                state, last2, last = OPERAND, last, "final"
+                annotated, fresh = True, False
+                continue
+            annotated = False
+            if java and word == "enum":
+                declared = "enum"
             if state == OPERAND:
                 same_line = java or not fresh
-                if last in lead or word in _BINARY or word in ("default", "while") and java:
+                if last in _MUST_OPEN and word != "await":
+                    return "header"
+                if last in lead or word in _BINARY or last == "as" and head in ("import", "export") or word in ("default", "while") and java:
                     pass
                 elif java:
                     # a type before a name; two plain names in a row need a modifier, type arguments or an array before them
@@ -134,7 +144,7 @@ def find_error(text: str, language: str) -> str | None:
                             return "adjacent"
                         if last == ")" and word != "throws" and top.kind == "block" and head not in ("if", "for", "while", "else", "do", "switch", "try", "catch", "synchronized", "@") and last2 != "@":
                             return "adjacent"
-                    elif last2 not in _JAVA_LEAD and last2 not in ("", ";", "{", "}", "(", ",", ".", ">", "]", ":", "->", "&", "@", "|", ")", "?", "<") and not _WORD_TYPE_OK.get(last2):
+                    elif last2 not in _JAVA_LEAD and last2 not in ("", ";", "{", "}", "(", ",", ".", ">", "]", ":", "->", "&", "@", "|", ")", "?", "<"):
                         return "adjacent"
                 elif same_line:
                     if word in ("while",) and last == ")":
@@ -154,6 +164,8 @@ def find_error(text: str, language: str) -> str | None:
             if word in ("const", "let", "var") and not java and (state in (START, ANY) or last in ("export", "declare", "(")):
                 declared = word if last != "declare" else ""
                 state = OPERATOR
+            elif word == "void" and not java and not script and last in (":", "=>", "|", "<", ",", "&") or word == "new" and last == "::":
+                state = OPERAND
             elif word in _OPERATOR_WORDS and (word not in ("default", "from", "of", "in", "import") or word in ("in", "of", "instanceof")) and not (java and word in ("of", "in", "typeof", "delete", "await", "from", "export", "void")):
                 state = OPERATOR if word not in ("else", "do", "try", "finally", "return", "yield") else OPERATOR if word in ("return", "yield") else START
             else:
@@ -211,7 +223,7 @@ def find_error(text: str, language: str) -> str | None:
                 fresh = False
                 continue
             if op == ";":
-                if state == OPERATOR and not _ends(last):
+                if state == OPERATOR and not _ends(last) and top.head != "for" and not (top.kind == "enum" and last == ","):
                     return "premature"
                 if top.char in ("(", "[") and top.head != "for" and not (java and top.head == "try"):
                     return "delimiter"
@@ -228,7 +240,7 @@ def find_error(text: str, language: str) -> str | None:
             elif op in ("++", "--"):
                 state = OPERAND if state == OPERAND and not fresh else OPERATOR
             elif op == "...":
-                state = OPERATOR if not java else OPERAND
+                state = OPERATOR
             elif op == "?":
                 if state == OPERATOR and not (java and last in ("<", ",")) and not (not script and last in ("-", "+", ")")):
                     return "premature"
@@ -273,7 +285,7 @@ def find_error(text: str, language: str) -> str | None:
             elif op in _UNARY:
                 state = OPERAND if op == "!" and state == OPERAND and not script and not java and text[at : at + 1] != "=" else OPERATOR
             elif op == "*":
-                state = OPERATOR if state != OPERATOR or last not in ("import", "export", ",", "{", "static", "async", "function", "yield") else OPERAND
+                state = OPERAND if last in ("import", "export") or last == "," and head == "import" else OPERATOR
             elif op in (".", "?.", "::"):
                 if state == OPERATOR and last not in ("import", "new") and not (last == "super"):
                     return "premature"
@@ -284,7 +296,7 @@ def find_error(text: str, language: str) -> str | None:
                     return "premature"
                 state = OPERATOR
             elif op in ("<", ">"):
-                if state == START:
+                if state == START and not (java and op == "<") or java and op == ">" and last == "=":
                     return "premature"
                 if op == ">" and state == OPERATOR and last not in ("?", ",", "<", "=") and script:
                     return "premature"
@@ -300,8 +312,13 @@ def find_error(text: str, language: str) -> str | None:
             c = m.group()
             if c == "(":
                 h = last if last in _PAREN or last in ("try",) else head if last == "await" and head == "for" else ""
+                if java and annotated:
+                    h = "@"
+                elif java and not h and state in (OPERATOR, START):
+                    h = "cast"
                 if state == START:
                     head = "("
+                annotated = False
                 stack.append(_Frame(c, "group", h))
                 state = OPERATOR
             elif c == "[":
@@ -310,10 +327,10 @@ def find_error(text: str, language: str) -> str | None:
             else:
                 if last in ("if", "while", "for", "switch") and not (last2 in (".", "?.")) and state != OPERATOR and top.kind != "object":
                     return "header"
-                if state == OPERATOR and last in ("import", "export", "type"):
+                if not java and (last in ("import", "export") or head in ("import", "export") and last in ("type", ",") and top.kind == "block"):
                     k = "import"
                 elif java:
-                    k = "array" if last in ("=", "]", ",", "{") and state != START and last != "{" or last == "{" and top.kind == "array" or last == "]" else "block"
+                    k = "enum" if declared == "enum" else "array" if last in ("=", "]", ",", "(") and state != START or last == "{" and top.kind == "array" or last == "]" else "block"
                 elif state in (START,) or last in (")", "=>", "else", "do", "try", "finally", ">", "catch", "static") or state == ANY:
                     k = "block"
                 elif state == OPERAND:
@@ -332,8 +349,8 @@ def find_error(text: str, language: str) -> str | None:
                     state = OPERATOR
                 else:
                     state = OPERATOR if k in ("object", "import", "enum") else START
-                if k == "block":
-                    head = ""
+                if k == "block" or java:
+                    head = head if k == "array" else ""
                     declared = ""
             last2, last = last, c
             fresh = False
@@ -344,10 +361,9 @@ def find_error(text: str, language: str) -> str | None:
                 return "delimiter"
             if state == OPERATOR and last not in (",", top.char, ";") and not (c == "}" and _ends(last)) and not (last == "*" and c in ")]}") and last not in ("?",):
                 return "premature"
-            if c == "}" and top.kind == "block" and state == OPERATOR and last == "," and script:
+            if c == "}" and top.kind == "block" and (state == OPERATOR and last == "," and script or java and last not in (";", "}", "{")):
                 return "premature"
             stack.pop()
-            fresh_after = False
             if top.kind == "template":
                 end = _template(text, at, stack)
                 if end < 0:
@@ -369,18 +385,23 @@ def find_error(text: str, language: str) -> str | None:
                 fresh = False
                 continue
             if c == "}":
-                if top.kind == "block":
-                    state, declared_before = ANY if not java else START, declared
+                if top.kind == "block" or java and top.kind == "enum":
+                    state = ANY if not java else START
                     if java and stack[-1].char in ("(", "[") or java and stack[-1].kind == "array":
                         state = OPERAND
                     elif not java and (stack[-1].char in ("(", "[") or stack[-1].kind in ("object",)):
                         state = OPERAND
-                    head_after = top.head
                     head = "}" if state in (START, ANY) else head
                 else:
                     state = OPERAND
             else:
                 state = OPERAND
+                if c == ")" and top.head == "@":
+                    state, last2, last, annotated = OPERAND, last, "final", False
+                    fresh = False
+                    continue
+                if c == ")" and top.head == "cast":
+                    state = ANY
                 if c == ")" and top.head in _PAREN | {"try"}:
                     state = START if top.head != "catch" else OPERAND
                     if top.head in ("switch", "try"):
@@ -417,9 +438,6 @@ def find_error(text: str, language: str) -> str | None:
     return None
 
 
-_WORD_TYPE_OK: dict[str, bool] = {}
-
-
 def _ends(last: str) -> bool:
     return last in ("return", "break", "continue", "yield", "++", "--", ";", "default", "*")
 

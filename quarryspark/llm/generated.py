@@ -30,7 +30,7 @@ MIN_FILES, MIN_REPOSITORIES, MIN_SHARE = 8, 3, 0.4
 
 # fixed values: published conventions for generated, minified and vendored paths, as directory names and name endings
 VENDOR_DIRECTORIES = ["node_modules", "bower_components", "jspm_packages", "vendor", "_vendor", "vendors", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "3rd-party", "external", "externals", "deps", "site-packages", "pods", "carthage", "godeps"]
-GENERATED_DIRECTORIES = ["__generated__", "generated", "generated-src", "generated-sources", "autogen", "codegen-out", "gen", "gen-src", "dist", "out-tsc", "__snapshots__"]
+GENERATED_DIRECTORIES = ["__generated__", "generated", "generated-src", "generated-sources", "autogen", "codegen-out", "gen", "gen-src", "dist", "out-tsc", "__snapshots__", "build"]
 NAME_ENDINGS = [".min", "-min", ".bundle", ".chunk", ".generated", "_generated", "-generated", ".gen", "_gen", ".g", ".pb", "_pb", "_pb2", "_pb2_grpc", "_grpc_pb", ".designer"]
 
 _VERSIONED = re.compile(r"^(?:[\w.-]+@v?\d+(?:\.\d+)*|[a-z][\w]*(?:-[a-z]\w*)*-v?\d+(?:\.\d+)+|v?\d+\.\d+\.\d+)$")
@@ -137,7 +137,7 @@ def data(text: str) -> bool:
     names = sum(len(m) for m in _IDENT.findall(re.sub(r"//[^\n]*|#[^\n]*|/\*[\s\S]*?\*/", "", bare)))
     if names > 0.08 * size or calls > 0.1 * items + 1:
         return False
-    return items >= 40 and literal >= 0.55 * size or items >= 12 and literal >= 0.85 * size
+    return items >= 40 and literal >= 0.4 * size or items >= 12 and literal >= 0.85 * size
 
 
 def found(path: str, text: str | None) -> str | None:

@@ -6,7 +6,8 @@ and its overlap stay within both limits. What cannot be merged any more are the
 the limits allow.
 
 Sizes: ``max_lines`` lines and ``max_chars`` characters hold for a piece with its overlap. The overlap is the last
-``overlap_lines`` lines before the piece, fewer only where these leave no room for the next line.
+``overlap_lines`` lines before the piece, fewer only where these leave no room for the next line; where not one line does, its last
+``overlap_chars`` characters, or as many as fit.
 A line over ``max_chars`` is an atom list of its own, cut after signs and blanks, with ``overlap_chars`` characters shared.
 
 Null contents have no size and are never oversized; blank lines count as lines. Line numbers start at the one in ``chunk_id``,
@@ -99,25 +100,28 @@ def _long_line(text: str, first: int, room: Callable[[int], int]) -> list[tuple[
 
 def split(text: str, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS, overlap_lines: int = OVERLAP_LINES, overlap_chars: int = OVERLAP_CHARS) -> list[tuple[int, int, int]]:
     """Pieces (start of overlap, start, end) as character offsets; the starts and ends are a partition of the text."""
-    lines = text.split("\n")
+    # a final line feed belongs to the last line and counts as a line and a character of its piece
+    final = int(text.endswith("\n"))
+    lines = (text[:-1] if final else text).split("\n")
     at = [0]
     for ln in lines:
         at.append(at[-1] + len(ln) + 1)
+    extra = lambda hi: final if hi == len(lines) else 0
 
-    def overlap(lo: int, hi: int, share: int) -> int:
-        """First line of the overlap of lines [lo, hi) if it may use so many characters."""
-        k = max(0, lo - min(overlap_lines, max_lines - (hi - lo)))
-        while k < lo and at[lo] - at[k] > share:
+    def overlap(lo: int, hi: int) -> int:
+        """First line of the overlap of lines [lo, hi): what the limits leave, at most overlap_lines."""
+        k = max(0, lo - min(overlap_lines, max_lines - (hi - lo) - extra(hi)))
+        room = max_chars - (at[hi] - 1 - at[lo]) - extra(hi)
+        while k < lo and at[lo] - at[k] > room:
             k += 1
         return k
 
     def fits(lo: int, hi: int) -> bool:
-        if lo == 0:
-            return hi <= max_lines and at[hi] - 1 <= max_chars
-        k = overlap(lo, lo + 1, max_chars - (at[lo + 1] - 1 - at[lo]))
-        return hi - k <= max_lines and at[hi] - 1 - at[k] <= max_chars
+        # a piece may grow only while its overlap stays what it was for its first line
+        k = overlap(lo, lo + 1)
+        return hi - k + extra(hi) <= max_lines and at[hi] - 1 - at[k] + extra(hi) <= max_chars
 
-    long = [j for j, ln in enumerate(lines) if len(ln) > max_chars]
+    long = [j for j, ln in enumerate(lines) if len(ln) + extra(j + 1) > max_chars]
     strength = line_strengths(lines)
     pieces: list[tuple[int, int, int]] = []
     done = 0
@@ -126,32 +130,26 @@ def split(text: str, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS, ove
             base = done
             for lo, hi in agglomerate(j - base, strength[base : j - 1], lambda lo, hi: fits(base + lo, base + hi)):
                 lo, hi = base + lo, base + hi
-                if lo == 0:
-                    o = 0
-                elif lo - 1 in long:
-                    o = max(at[lo - 1], at[lo] - 1 - min(overlap_chars, max_chars - (at[hi] - at[lo])))
-                    o = min(o, at[lo])
-                else:
-                    k = overlap(lo, hi, max_chars - (at[hi] - 1 - at[lo]))
-                    if long and k <= (before := max((x for x in long if x < lo), default=-1)):
-                        k = before + 1
-                    o = at[k]
+                k = max([overlap(lo, hi), *(x + 1 for x in long if x < lo)])
+                o = at[k]
+                if k == lo > 0:
+                    # no whole line before fits: share its last characters
+                    n = min(overlap_chars, max_chars - (at[hi] - at[lo]) - extra(hi), at[lo] - 1 - at[lo - 1])
+                    o = at[lo] - 1 - n if n > 0 and hi - lo + extra(hi) < max_lines else at[lo]
                 pieces.append((o, at[lo], min(at[hi], len(text))))
         if j < len(lines):
-            k = overlap(j, j + 1, max_chars // 2)
-            if before := [x for x in long if x < j]:
-                k = max(k, before[-1] + 1)
+            line = lines[j] + "\n" * extra(j + 1)
+            k = max([0, j - overlap_lines, *(x + 1 for x in long if x < j)])
+            while k < j and at[j] - at[k] > max_chars // 2:
+                k += 1
             head = at[j] - at[k]
-            if k == j and j - 1 in long:
-                head = overlap_chars + 1
+            if k == j > 0:
+                head = min(overlap_chars, at[j] - 1 - at[j - 1]) + 1
             room = lambda c: max_chars - (head if c == 0 else overlap_chars)
-            for lo, hi in _long_line(lines[j], max_chars - max(head, overlap_chars), room):
+            for lo, hi in _long_line(line, max_chars - max(head, overlap_chars), room):
                 o = at[j] + lo - overlap_chars if lo else at[j] - head
                 pieces.append((o, at[j] + lo, min(at[j] + hi + (hi == len(lines[j])), len(text))))
             done = j + 1
-    # a final line feed leaves an empty last line; it stays with the last piece
-    if len(pieces) > 1 and pieces[-1][1] == pieces[-1][2]:
-        pieces.pop()
     return pieces
 
 
