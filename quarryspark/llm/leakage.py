@@ -189,33 +189,61 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) ->
     return leaked_spans(documents, items, min_words).select("doc_id", "item_id").distinct()
 
 
+def _cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
+    """The text without the word spans, words removed, words in all."""
+    at = [m.span() for m in _WORD.finditer(text)]
+    merged: list[list[int]] = []
+    for lo, hi in sorted(spans):
+        if merged and lo <= merged[-1][1] + 1:
+            merged[-1][1] = max(hi, merged[-1][1])
+        else:
+            merged.append([lo, hi])
+    pieces, last = [], 0
+    for lo, hi in merged:
+        pieces.append(text[last : at[lo][0]])
+        last = at[hi][1]
+    return "".join([*pieces, text[last:]]), sum(hi - lo + 1 for lo, hi in merged), len(at)
+
+
+_CLEAN = "doc_id bigint, items array<bigint>, removed_words int, coverage double, dropped boolean, text string"
+
+
+def _cleaned(rows: Iterator[tuple[int, str, list[int], list[tuple[int, int]]]], drop_coverage: float) -> pa.RecordBatch:
+    out = []
+    for doc, text, items, spans in rows:
+        clean, removed, n = _cut(text, spans)
+        drop = removed >= drop_coverage * n
+        out.append((doc, items, removed, round(removed / n, 6), drop, None if drop else clean))
+    types = [pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.float64(), pa.bool_(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 6, types)], names=["doc_id", "items", "removed_words", "coverage", "dropped", "text"])
+
+
 def decontaminate(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, drop_coverage: float = DROP_COVERAGE) -> DataFrame:
-    """Per leaking document: items (sorted), removed_words, coverage, dropped, and text with the spans cut out, null if dropped."""
+    """Per leaking document: items (sorted), removed_words, coverage, dropped, and text with the spans cut out, null if dropped.
+
+    With one block of items, texts are cut in the pass that finds the spans; with more, the spans of all passes are joined to the texts.
+    """
+    blocks = _passages(items, min_words)
+    first = next(blocks)
+    docs = require(documents, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    if next(blocks, None) is None:
+        shared = documents.sparkSession.sparkContext.broadcast(build(first, min_words))
+
+        def one_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = []
+                for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                    if found := matches(shared.value, text, min_words):
+                        rows.append((doc, text, sorted({i for i, _, _ in found}), [(lo, hi) for _, lo, hi in found]))
+                yield _cleaned(rows, drop_coverage)
+
+        return docs.mapInArrow(one_pass, _CLEAN).dropDuplicates(["doc_id"])
     spans = leaked_spans(documents, items, min_words)
     per = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.collect_set(F.struct("first_word", "last_word")).alias("spans"))
-    docs = require(documents, "doc_id", "text").join(per, "doc_id").dropDuplicates(["doc_id"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc, text, found, spans in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "items", "spans"))):
-                at = [m.span() for m in _WORD.finditer(text)]
-                gone = sorted((s["first_word"], s["last_word"]) for s in spans)
-                merged: list[list[int]] = []
-                for lo, hi in gone:
-                    if merged and lo <= merged[-1][1] + 1:
-                        merged[-1][1] = max(hi, merged[-1][1])
-                    else:
-                        merged.append([lo, hi])
-                removed = sum(hi - lo + 1 for lo, hi in merged)
-                pieces, last = [], 0
-                for lo, hi in merged:
-                    pieces.append(text[last : at[lo][0]])
-                    last = at[hi][1]
-                pieces.append(text[last:])
-                drop = removed >= drop_coverage * len(at)
-                rows.append((doc, found, removed, round(removed / len(at), 6), drop, None if drop else "".join(pieces)))
-            types = [pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.float64(), pa.bool_(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], names=["doc_id", "items", "removed_words", "coverage", "dropped", "text"])
-
-    return docs.mapInArrow(cut, "doc_id bigint, items array<bigint>, removed_words int, coverage double, dropped boolean, text string")
+            columns = (b.column(c).to_pylist() for c in ("doc_id", "text", "items", "spans"))
+            yield _cleaned([(d, t, i, [(s["first_word"], s["last_word"]) for s in x]) for d, t, i, x in zip(*columns)], drop_coverage)
+
+    return docs.join(per, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(joined, _CLEAN)

@@ -255,7 +255,8 @@ def similar_classes(chunks: DataFrame, threshold: tuple[int, int] = THRESHOLD, m
     spark = chunks.sparkSession
     num, den = threshold
     fragments = fragments or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = content_classes(chunks, min_tokens).select("rid", "content")
+    # sorted, so that a task that runs again after a lost executor makes the same batches
+    texts = content_classes(chunks, min_tokens).select("rid", "content").sortWithinPartitions("rid")
     blocks = texts.mapInArrow(_shingler(fragments, min_tokens, ngram), _ddl(_BLOCKS))
     counted = blocks.groupBy("frag").applyInArrow(_count_fragment, _ddl(_COUNTED))
     records = reliable(counted.groupBy("batch").applyInArrow(_batch_records(threshold, FRAGMENTS), _ddl(_RECORDS)))

@@ -35,7 +35,7 @@ _LANGUAGE = {
     "tr": "ve veya bir bu şu için ile en fazla olarak gibi daha çok ne neden nasıl hangi kim nerede var yok mı mi mu mü değil ise ki de da her sonra önce göre kadar olan olur oluyor olarak kez kaç icindeki içindeki dosya dosyada satir satır kullanilir kullanılır yazilir çünkü artık gerekli hata yalnızca böylece bu adimda yeni sürümde ayrı aynı tutar sınırı yapmadan çalıştırmadan ediyor sürdü alındı",
     "de": "der die das den dem des ein eine einen einem einer und oder aber nicht ist sind war wird werden wurde mit für auf von zu zum zur im in am an nach noch nur wenn wann warum wo was wie wer bei man dass es sich keine kein zwischen jede jeder jedes danach zuerst damit weil mehr als gibt haben hat ich wir",
     "fr": "le la les un une des du de et ou est sont était pas pour par dans sur avec que qui quoi ce cette il elle nous vous ne au aux avant depuis si lorsque puis chaque où comment pourquoi quand fonction fichier passé faut être plus",
-    "es": "el los las una uno y o es son fue no por para con se su del al lo que cada antes después hay si como cuando donde cuál qué porque función archivo desde sin más está según usa",
+    "es": "el los las la un una uno y o es son fue no por para con se su de del al lo que en a cada antes después hay si como cuando donde cuál qué porque función archivo desde sin más está según usa fuera nadie unos",
 }
 _LETTERS = {"tr": "ğşıİ", "de": "ßä", "fr": "èêàùœë", "es": "ñ¿¡"}
 _STOPS = {k: frozenset(v.split()) for k, v in _LANGUAGE.items()}
@@ -68,6 +68,11 @@ def language(text: str) -> str | None:
     return best if score[best] >= 1 and score[best] > rest else None
 
 
+def _bare(text: str) -> str:
+    """Prose without quotations and names of code."""
+    return re.sub(r"[\w./]+\([^)]*\)|\w+_\w+|[a-z]+[A-Z]\w*", " ", _QUOTED.sub(" ", text))
+
+
 def clauses(answer: str) -> list[tuple[str, str]]:
     """(kind, text): prose, item, code, open (a code block without its end) or citation, in order."""
     out: list[tuple[str, str]] = []
@@ -109,6 +114,8 @@ def featurize(question: str | None, answer: str) -> tuple[np.ndarray, list[int],
     q = _norm(re.sub(r"`", "", question or ""))
     q_language = language(_QUOTED.sub(" ", question or ""))
     q_set = set(q)
+    # a clause of few words speaks the language of the whole
+    whole = language(" ".join(_bare(t) for k, t in parts if k in ("prose", "item")))
     rows, sizes = [], []
     for i, (kind, text) in enumerate(parts):
         f = dict.fromkeys(FEATURES, 0.0)
@@ -118,7 +125,7 @@ def featurize(question: str | None, answer: str) -> tuple[np.ndarray, list[int],
         f["code"], f["open"], f["item"], f["citation"] = kind in ("code", "open"), kind == "open", kind == "item", kind == "citation"
         f["first"], f["last"] = i == 0, i == len(parts) - 1
         if kind in ("prose", "item"):
-            own = language(re.sub(r"[\w./]+\([^)]*\)|\w+_\w+|[a-z]+[A-Z]\w*", " ", plain))
+            own = language(_bare(text)) or whole
             f["same"], f["other"] = own is not None and own == q_language, own is not None and q_language is not None and own != q_language
             f["unknown"] = not (f["same"] or f["other"])
             hits = 0

@@ -52,6 +52,7 @@ def test_leaks_in_spark(spark, monkeypatch):
     assert not clean[5].dropped and "word" not in clean[5].text and clean[5].removed_words == 30
     monkeypatch.setattr(L, "BLOCK_WORDS", 31)
     assert {tuple(r) for r in L.leaks(docs, items).collect()} == expected
+    assert {r.doc_id: r for r in L.decontaminate(docs, items).collect()} == clean
     assert L.leaks(docs.limit(0), items).count() == 0 and L.leaks(docs, items.limit(0)).count() == 0
 
 
