@@ -4,8 +4,8 @@
    keywords and sentences built on one repeated phrase, and page-wide figures (stop words, distinct words, repetition, links).
 2. Labelling functions give weak labels: a page with clearly more than half of its words in such lines is spam, one with clearly less
    is not, those between have none.
-3. Trees are grown on bootstrap samples of at most ``SAMPLE`` weakly labelled pages, the ones with the least hash; the bound is
-   a parameter. Everything else covers all pages.
+3. Trees are grown on bootstrap samples of at most ``SAMPLE`` weakly labelled pages, the ones with the least hash, a quarter of them
+   for pages between the extremes; the bound is a parameter. Everything else covers all pages.
 4. A page's score is its averaged tree votes, moved towards the spam rate of its host (``source``) on the logit scale.
    The rates are computed over all pages; pages without a host keep their own score.
 
@@ -53,6 +53,25 @@ STOP = frozenset(
 FEATURES = ["links", "tags", "lists", "directory", "products", "runs", "phrases", "prose", "code", "stop", "distinct", "top_phrase", "url_rate", "tag_rate", "length", "line_words", "ended", "unlike", "spam"]
 
 
+def _keyword(words: list[str], counts: Counter) -> tuple[tuple[str, ...], int]:
+    """The phrase of content words that covers most of the words, and how often it occurs: one word, two, or two about a function word."""
+    best, times, covered = (), 0, 0
+    pairs = Counter(zip(words, words[1:]))
+    for p, n in pairs.most_common(12):
+        if n >= 3 and p[0] not in STOP and p[1] not in STOP:
+            best, times, covered = p, n, 2 * n
+            break
+    one, n = max(((w, c) for w, c in counts.most_common(12) if w not in STOP and not w.isdigit()), key=lambda x: x[1], default=("", 0))
+    if n >= 4 and n >= 0.08 * len(words):
+        around = Counter(t for t in zip(words, words[1:], words[2:]) if t[1] in STOP and t[0] not in STOP and t[2] not in STOP)
+        t, k = max(around.items(), key=lambda x: x[1], default=((), 0))
+        if k >= 3 and 3 * k > covered:
+            best, times, covered = t, k, 3 * k
+        if n > 1.2 * covered:
+            best, times = (one,), n
+    return best, times
+
+
 def _page(text: str) -> tuple[list[float], float] | None:
     """Features and the share of words in spam lines; None without a word."""
     plain: list[str] = []
@@ -75,9 +94,7 @@ def _page(text: str) -> tuple[list[float], float] | None:
     if not total:
         return None
     counts = Counter(words)
-    pairs = Counter(zip(words, words[1:]))
-    phrase, times = max(((p, n) for p, n in pairs.items() if p[0] not in STOP and p[1] not in STOP), key=lambda x: x[1], default=(None, 0))
-    key = " ".join(phrase) if phrase and times >= 3 else None
+    key, times = _keyword(words, counts)
     share = dict.fromkeys(("links", "tags", "lists", "directory", "products", "runs", "phrases", "prose"), 0)
     ended = 0
     waiting = ""
@@ -131,9 +148,9 @@ def _page(text: str) -> tuple[list[float], float] | None:
                     k = len(low)
                     if not k:
                         continue
-                    hits = " ".join(low).count(key)
-                    others = len({w for w in low if w not in phrase})
-                    if hits >= 2 and others <= 0.5 * k or hits == 1 and k <= 5 and times * 2 >= 0.15 * len(words):
+                    hits = low.count(key[0]) if len(key) == 1 else " ".join(low).count(" ".join(key))
+                    others = len({w for w in low if w not in key})
+                    if hits >= 2 and others <= 0.5 * k or hits == 1 and k <= 4 + len(key) and times * len(key) >= 0.15 * len(words):
                         share["phrases"] += k
                     else:
                         share["prose"] += k
@@ -148,7 +165,7 @@ def _page(text: str) -> tuple[list[float], float] | None:
     # the whole page as one list of short lines without a sentence
     m = len(words) or 1
     f = [share[k] / total for k in ("links", "tags", "lists", "directory", "products", "runs", "phrases", "prose")]
-    f += [code / total, sum(counts[w] for w in counts if w in STOP) / m, len(counts) / m, 2 * times / m, url_words / total, body.count("#") / total + body.count("@") / total, math.log1p(total), m / (len(plain) or 1), ended / total]
+    f += [code / total, sum(counts[w] for w in counts if w in STOP) / m, len(counts) / m, len(key) * times / m, url_words / total, body.count("#") / total + body.count("@") / total, math.log1p(total), m / (len(plain) or 1), ended / total]
     f += [sum(n for w, n in counts.items() if n >= 4 and w not in STOP) / m, spam / total]
     return f, spam / total
 
@@ -262,7 +279,10 @@ def train(rows: list, trees: int = TREES) -> list[Tree]:
 def scores(documents: DataFrame, sample: int = SAMPLE, trees: int = TREES, host_weight: float = HOST_WEIGHT) -> DataFrame:
     """(doc_id, source, page_score, host_rate, score), one row per document with words."""
     features = reliable(page_features(documents))
-    rows = bounded_sample(features.select("doc_id", "features"), sample, "doc_id")
+    # a quarter of the sample is for pages that are neither all spam nor free of it: they are rare, and where the trees have to cut
+    share = F.element_at("features", FEATURES.index("spam") + 1)
+    mixed = share.between(0.15, 0.8)
+    rows = bounded_sample(features.where(mixed).select("doc_id", "features"), sample // 4, "doc_id") + bounded_sample(features.where(~mixed).select("doc_id", "features"), sample - sample // 4, "doc_id")
     shared = documents.sparkSession.sparkContext.broadcast(train(rows, trees))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from .common import bounded_sample, require
 
 TAGS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
-SAMPLE, STEPS, RATE, PENALTY = 3000, 150, 0.15, 1e-3
+SAMPLE, STEPS, RATE, PENALTY = 3000, 250, 0.2, 1e-5
 
 _WORD = re.compile(r"[^\W_]+")
 # fixed values: stand-ins for a missing answer
@@ -202,7 +202,7 @@ def fit(sequences: list[tuple[np.ndarray, list[int]]], steps: int = STEPS) -> Fi
     w, t = np.zeros((d, k)), np.zeros((k, k))
     if not sequences:
         return Field(w, t)
-    longest = min(64, max(len(y) for _, y in sequences))
+    longest = min(16, max(len(y) for _, y in sequences))
     n = len(sequences)
     x, y, mask = np.zeros((n, longest, d)), np.zeros((n, longest), int), np.zeros((n, longest))
     for i, (a, b) in enumerate(sequences):
