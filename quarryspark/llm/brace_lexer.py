@@ -46,7 +46,6 @@ _MARKUP_TEXT = re.compile(r"[^<{}>]*")
 _TAG = re.compile(r"[A-Za-z_$][\w$.:-]*")
 _ATTRIBUTE = re.compile(r"""\s*(?:([A-Za-z_$][\w$:-]*)(?:\s*=\s*("[^"]*"|'[^']*'|\{))?|(\{)|(/>)|(>))""")
 _GENERIC_ARROW = re.compile(r"<\s*[A-Za-z_$][\w$]*(?:\s+extends\b|\s*,)")
-_TYPE_ARGUMENTS = re.compile(r"<[\w$\s.,|&\[\]?:;{}'\"()=<>]*?>")
 
 _BINARY = {"in", "of", "instanceof", "as", "from", "extends", "implements", "is", "satisfies", "throws", "permits"}
 _OPERATOR_WORDS = {"return", "throw", "typeof", "delete", "void", "new", "await", "yield", "case", "else", "do", "extends", "implements", "default", "in", "of", "instanceof", "import", "export", "from", "throws", "try", "finally"}
@@ -62,7 +61,7 @@ START, OPERAND, OPERATOR, ANY = 0, 1, 2, 3
 
 
 class _Frame:
-    __slots__ = ("char", "kind", "ternaries", "head", "java_enum")
+    __slots__ = ("char", "kind", "ternaries", "head")
 
     def __init__(self, char: str, kind: str, head: str = "") -> None:
         self.char, self.kind, self.ternaries, self.head = char, kind, 0, head
@@ -176,7 +175,7 @@ def find_error(text: str, language: str) -> str | None:
         if kind == "op":
             op = m.group()
             if op == "/":
-                if state in (START, OPERATOR) and not java or state == ANY and not java and _REGEX.match(text, begin) and not fresh is False:
+                if not java and (state in (START, OPERATOR) or state == ANY and fresh and _REGEX.match(text, begin)):
                     r = _REGEX.match(text, begin)
                     if not r:
                         return "literal"

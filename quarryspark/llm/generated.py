@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require
+from .common import reliable, require
 
 #: A mined pattern needs so many files and repositories, and this share of its files must declare themselves.
 MIN_FILES, MIN_REPOSITORIES, MIN_SHARE = 8, 3, 0.4
@@ -128,7 +128,7 @@ def data(text: str) -> bool:
     if len(text) < 1200:
         return False
     size = len(text) - text.count(" ") - text.count("\n")
-    literal = names = items = 0
+    literal = items = 0
     for m in _LITERALS.finditer(text):
         literal += m.end() - m.start()
         items += 1
@@ -243,8 +243,6 @@ def mined(scanned: DataFrame, min_files: int = MIN_FILES, min_repositories: int
 
 def not_handwritten(files: DataFrame, min_files: int = MIN_FILES, min_repositories: int = MIN_REPOSITORIES, min_share: float = MIN_SHARE) -> DataFrame:
     """(file_id, reason) of files not written by hand; reason is declared, said, minified, data, path or mined, the first that holds."""
-    from .common import reliable
-
     rows = reliable(scan(files))
     decl = declared(files)
     said = decl.join(rows.select("file_id", "owner", "name", "patterns", "published", "evidence"), "file_id", "right")

@@ -30,7 +30,6 @@ _GLUED = re.compile(r"\d[\d_.]*(?:and|or|in|is|if|else|for)\b")
 _OLD_OCTAL = re.compile(r"0[0-9_]*[1-9][0-9_]*$")
 _MARK = re.compile(r"(?:<{7}|>{7}|={7}|\|{7})(?: |\r?$)", re.M)
 _LITERAL = {q: re.compile(r"(?:[^\\{}" + ("\n" if len(q) == 1 else "") + q[0] + r"]|\\[\s\S]|\{\{|\}\}" + ("" if len(q) == 1 else "|" + q[0] + "(?!" + q[1:] + ")") + ")*") for q in ('"', "'", '"""', "'''")}
-_INNER = re.compile(r"[^\"'{}()\[\]\\#\n]+|[\s\S]")
 START, OPERAND, OPERATOR = 0, 1, 2
 
 
@@ -58,7 +57,7 @@ def _format_end(text: str, at: int, quote: str, deep: int = 0) -> int:
                     return -1
                 at += 1
             elif c in "\"'":
-                if text.startswith(quote, at) and len(stack) == 1 and text.rfind("{", 0, at) >= 0 and text[at - 1 : at] in ":":
+                if text.startswith(quote, at) and len(stack) == 1 and text[at - 1] == ":":
                     return -1
                 q = c * 3 if text.startswith(c * 3, at) else c
                 start = at
