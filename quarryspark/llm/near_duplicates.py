@@ -254,7 +254,7 @@ def similar_classes(chunks: DataFrame, threshold: tuple[int, int] = THRESHOLD, m
     """Pairs (rid_a, rid_b, overlap, n_a, n_b) of different contents, rid_a < rid_b, whose sets are alike."""
     spark = chunks.sparkSession
     num, den = threshold
-    fragments = fragments or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    fragments = fragments or max(128, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     # sorted, so that a task that runs again after a lost executor makes the same batches
     texts = content_classes(chunks, min_tokens).select("rid", "content").sortWithinPartitions("rid")
     blocks = texts.mapInArrow(_shingler(fragments, min_tokens, ngram), _ddl(_BLOCKS))
