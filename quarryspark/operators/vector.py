@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LIMITS
-from ..functions.text import code_tokens
+from ..functions.text import code_token_bag
 
 #: Query vectors broadcast at once: 4096 of 64 floats are 2 MB.
 QUERY_BLOCK = 4096
@@ -22,7 +22,7 @@ def bucket(token, dimensions: int = LIMITS.dimensions):
 
 def term_buckets(rows: DataFrame, key: str, text: str, dimensions: int = LIMITS.dimensions) -> DataFrame:
     """(key, bucket, n): how many tokens of a text fall into each bucket."""
-    return rows.select(key, F.explode_outer(code_tokens(F.col(text))).alias("t")).where("t IS NOT NULL").select(key, bucket(F.col("t"), dimensions).alias("bucket")).groupBy(key, "bucket").agg(F.count("*").alias("n"))
+    return rows.select(key, F.explode_outer(code_token_bag(F.col(text))).alias("t")).where("t IS NOT NULL").select(key, bucket(F.col("t"), dimensions).alias("bucket")).groupBy(key, "bucket").agg(F.count("*").alias("n"))
 
 
 def embed(rows: DataFrame, key: str, text: str, dimensions: int = LIMITS.dimensions) -> DataFrame:

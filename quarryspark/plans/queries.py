@@ -75,7 +75,7 @@ def chunk_previews(spark: SparkSession, d: str) -> DataFrame:
 
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of each point: how many, how many distinct, and a digest of their order."""
-    tokens = bm25.tokenized(T.chunks(spark, d))
+    tokens = T.chunks(spark, d).select("point_id", text.code_tokens(text.index_text(F.col("file_path"), F.col("content"), F.col("symbol_name"))).alias("tokens"))
     return tokens.select("point_id", F.size("tokens").cast("bigint").alias("n"), F.size(F.array_distinct("tokens")).cast("bigint").alias("distinct_n"), F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 

@@ -33,6 +33,7 @@ def test_tokens(spark):
 @given(st.lists(st.text(alphabet="aAbBzZ09_ .é", max_size=25), min_size=1, max_size=40))
 def test_tokens_property(spark, values):
     assert one(spark, values, text.code_tokens) == [reference_tokens(v) for v in values]
+    assert [sorted(v) for v in one(spark, values, text.code_token_bag)] == [sorted(reference_tokens(v)) for v in values]
 
 
 def test_lines(spark):
