@@ -29,7 +29,10 @@ def lexical_score(query, document):
 
 
 def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, limit: int = 5, scorer=lexical_score) -> DataFrame:
-    """Hits with rerank_score and the new rank. Only the pool is joined to its texts, so the scorer runs on few rows."""
+    """Hits with rerank_score and the new rank. Only the pool is joined to its texts, so the scorer runs on few rows.
+
+    Hits are read twice: pass a settled pool, or the searches behind it run twice.
+    """
     pool = hits.select("query_id", "point_id", "score", *[c for c in ("vector_rank", "keyword_rank") if c in hits.columns])
     texts = chunks.join(pool.select("point_id").distinct(), "point_id", "left_semi").select("point_id", rerank_text(F.col("file_path"), F.col("symbol_name"), F.col("content")).alias("document"))
     scored = pool.join(queries.select("query_id", "query"), "query_id").join(texts, "point_id").withColumn("rerank_score", scorer(F.col("query"), F.col("document"))).drop("query", "document")

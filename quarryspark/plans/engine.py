@@ -23,6 +23,7 @@ from ..operators import bm25, citations, evaluate, fusion, graph, incremental, p
 from ..operators.line_chunks import chunk_totals
 from ..operators.replay import AnswerCache, RateLimiter
 from ..schemas import JOB_STATES, SEARCH_MODES
+from ..sources.checkpoints import settle
 from ..sources.repository import confined, head_commit, pull_latest, read_checkout
 from ..sources.store import IndexStore
 
@@ -199,7 +200,7 @@ class Engine:
         else:
             hits = fusion.fuse(semantic(LIMITS.pool), keyword(LIMITS.pool), pool)
         if rerank:
-            hits = fusion.rerank(hits, q, chunks, limit, self.scorer)
+            hits = fusion.rerank(settle(hits), q, chunks, limit, self.scorer)
         return hits.join(chunks.drop("embedding"), "point_id").orderBy("rank")
 
     def search(self, owner: str, name: str, query: str, mode: str = "hybrid", limit: int = 5, rerank: bool = False) -> list[Row]:

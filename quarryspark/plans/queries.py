@@ -129,7 +129,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _reranked(spark: SparkSession, d: str, limit: int) -> DataFrame:
-    return fusion.rerank(_hybrid(spark, d, LIMITS.pool), T.eval_questions(spark, d), T.chunks(spark, d), limit)
+    return fusion.rerank(settle(_hybrid(spark, d, LIMITS.pool)), T.eval_questions(spark, d), T.chunks(spark, d), limit)
 
 
 def reranked_search(spark: SparkSession, d: str) -> DataFrame:
@@ -226,7 +226,7 @@ def _located(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
 def _variants(spark: SparkSession, d: str) -> DataFrame:
     v, k = _pools(spark, d)
     q = T.eval_questions(spark, d)
-    pool = fusion.fuse(v, k, LIMITS.pool)
+    pool = settle(fusion.fuse(v, k, LIMITS.pool))
     first = lambda h: h.where("rank <= 10")
     hits = {"semantic": first(v), "keyword": first(k), "hybrid": first(pool), "hybrid_rerank": fusion.rerank(pool, q, T.chunks(spark, d), 10)}
     out = None
