@@ -201,7 +201,8 @@ def weak_labels(x: np.ndarray) -> np.ndarray:
 class Tree:
     """A binary tree as arrays; leaves hold the share of spam."""
 
-    def __init__(self) -> None:
+    def __init__(self, leaf: int = LEAF) -> None:
+        self.leaf = leaf
         self.feature: list[int] = []
         self.cut: list[float] = []
         self.left: list[int] = []
@@ -212,7 +213,7 @@ class Tree:
         at = len(self.value)
         for a, v in ((self.feature, -1), (self.cut, 0.0), (self.left, -1), (self.right, -1), (self.value, float(y.mean()) if len(y) else 0.0)):
             a.append(v)
-        if depth == 0 or len(y) < 2 * LEAF or y.min() == y.max():
+        if depth == 0 or len(y) < 2 * self.leaf or y.min() == y.max():
             return at
         best = (1e-9, -1, 0.0)
         p = y.mean()
@@ -223,7 +224,7 @@ class Tree:
             k = np.bincount(bins, weights=y, minlength=len(edges[j]) + 1)
             nl, kl = np.cumsum(n)[:-1], np.cumsum(k)[:-1]
             nr, kr = len(y) - nl, y.sum() - kl
-            ok = (nl >= LEAF) & (nr >= LEAF)
+            ok = (nl >= self.leaf) & (nr >= self.leaf)
             if not ok.any():
                 continue
             pl, pr = kl / np.maximum(nl, 1), kr / np.maximum(nr, 1)
@@ -255,10 +256,12 @@ def bag(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, se
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
     # rare values far from the bulk keep edges of their own
     edges = [np.unique(np.concatenate([e, np.linspace(x[:, j].min(), x[:, j].max(), 12)[1:-1]])) for j, e in enumerate(edges)]
+    # a class of few pages would vanish in leaves of the usual size
+    leaf = LEAF if min(y.sum(), len(y) - y.sum()) >= 8 * LEAF else 1
     out = []
     for _ in range(trees):
         pick = rng.integers(0, len(y), len(y))
-        t = Tree()
+        t = Tree(leaf)
         t.grow(x[pick], y[pick], edges, depth, rng)
         out.append(t)
     return out
