@@ -1,9 +1,10 @@
 """Credentials in chunk contents: found by key path and value shape, redacted by splicing.
 
-A content is read as the configuration formats that code and documents hold: assignments, dictionaries and JSON members, YAML
-maps with nesting, INI and property sections, shell variables and flags, table rows, call arguments and annotated prose. Each value that has
-a key gets its key path and its offsets in the original. A value is a credential if its key path names one and its shape can be one; values that
-carry their own mark (issued token formats, authorization values, connection strings with a password, private key blocks) need no key.
+Two readers give values with a key and their offsets in the original. One parses the configuration formats that code and documents hold
+(JSON-like maps and lists, YAML, INI, TOML and property lines, XML elements and attributes; tolerant, as contents are cuts of files) into
+key paths, and the whole path is tested: a leaf, its last two keys, or a parent, section or element above it. The other takes the word right
+before a value, which is all the path there is in assignments, shell variables and flags, table rows, call arguments and annotated prose.
+A value is a credential if its key path names one and its shape can be one; values that carry their own mark (issued token formats, authorization values, connection strings with a password, private key blocks) need no key.
 Placeholders, references to the environment, digests, ids, public keys and names of fields are none.
 
 Redactions replace just the bytes of the value, so quotes, prefixes, line count and everything else stay as they were.
@@ -148,6 +149,174 @@ def assignments(text: str, raw: bytes) -> Iterator[tuple[str, int, int, bool]]:
         yield head, v.start(group), v.end(group), group == "text"
 
 
+# words a sensitive path holds, in a place other than a leaf before its value: a map or list below, a section, a dotted name, an element, a leaf "key"
+_WORDS = rb"(?:passw|passphrase|pwd|passe?(?![a-z])|secret|token|keys?(?![a-z])|bearer|auth|credential|parola|sifre|\?ifre|kennwort|anahtari|contrase|clave|mdp|identity|wachtwoord|schluessel)"
+_NESTED = re.compile(_WORDS + rb"[\w?-]*(?:\.|[\"'`]?\]?[ \t]*(?:(?:=>|:=|[:=])[ \t]*(?:[\[{(|>&!#]|\r?\n|\Z)|\]|\r?\n[ \t]*\{))|(?<![a-z0-9_])key[\"']?[ \t]*[:=]|\[[^\]\n]*" + _WORDS + rb"|<[^<>]*" + _WORDS)
+_LINE = re.compile(r"([ \t]*(?:-[ \t]+)*)(.*)")
+_SECTION = re.compile(r"\[{1,2}[ \t]*([\w.\-/:\"' ]+?)[ \t]*\]{1,2}[ \t]*(?:[#;].*)?$")
+_PAIR = re.compile(r"(?:(?:export|const|let|var|final|static|private|public|String)[ \t]+)*(?P<q>[\"'`]?)(?P<key>[A-Za-z_$@][\w.\-$/]*)(?P=q)\]?\s*(?:=>|:=|[:=](?![=:]))[ \t]*")
+_STRING = re.compile(r"[rbfu]{0,2}(?P<quote>\"{3}|'{3}|[\"'`])(?P<text>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)")
+_BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>|]+")
+_SKIP = re.compile(r"[\s,;]+|//[^\n]*|(?<![^\s,;{\[(])#[^\n]*|/\*[\s\S]*?(?:\*/|\Z)")
+_ELEMENT = re.compile(r"<!--[\s\S]*?(?:-->|\Z)|(?<!\w)<(?P<open>[A-Za-z_][\w.:-]*)(?P<attributes>(?:\s+[\w.:-]+\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'))*)\s*(?P<empty>/?)>|</(?P<close>[A-Za-z_][\w.:-]*)\s*>")
+_INNER = re.compile(r"\s*(?:<!\[CDATA\[([^\]\s]+)\]\]>|([^<>\s]+))\s*</([A-Za-z_][\w.:-]*)\s*>")
+_ATTRIBUTE = re.compile(r"([\w.:-]+)\s*=\s*(?:\"([^\"<]*)\"|'([^'<]*)')")
+# fixed values: leaves that describe the credential of their parent and hold none
+_DESCRIBES = re.compile(
+    r"(?:^|_)(?:name|user|username|login|email|type|kind|class|ids?|uuid|ur[li]|host|hostname|port|path|file|filename|dir|region|endpoint|alg|algorithm|issuer|audience|scopes?|expir\w+|ttl|length|size|format|version|env|enabled|description|label|provider|method|header|prefix|suffix|date|at|"
+    r"hash|digest|sha\d*|md5|checksum|fingerprint|public_key|arn|ref|status|pattern|regex|placeholder|example|hint|title|count|min|max|field|tag|domain|realm|namespace|bucket|database|schema|table|mode|charset|encoding|driver|image|repository|branch|commit|import|from|require|version|comment|message|text)$"
+)
+
+
+def sensitive_path(path: list[str]) -> bool:
+    """Whether a key path names a credential: by its leaf, its last two keys read as one, or a parent whose leaf does not just describe it.
+    An empty last key is an item of a list."""
+    words = [w for k in path if (n := key_name(k)) for w in n.split(".") if w]
+    if not words or _NOT_SENSITIVE.search("_".join(words[-2:])):
+        return False
+    if sensitive(words[-1]) or sensitive("_".join(words[-2:])) or not path[-1] and sensitive(words[-1].removesuffix("s")):
+        return True
+    # a map or list of credentials may have its name in the plural
+    return not _DESCRIBES.search(words[-1]) and any(sensitive(w) or sensitive(w.removesuffix("s")) for w in words[:-1])
+
+
+def _scalar(text: str, at: int, end: int) -> tuple[int, int, int, bool] | None:
+    """(after, start, end, quoted) of the quoted or bare value at an offset."""
+    if m := _STRING.match(text, at, end):
+        return m.end(), m.start("text"), m.end("text"), True
+    if m := _BARE.match(text, at, end):
+        return m.end(), m.start(), m.end(), False
+    return None
+
+
+def _flow(text: str, at: int, above: list[str], key: str) -> Iterator[tuple[list[str], int, int, bool] | int]:
+    """Values of the JSON-like map or list whose bracket is at an offset; last, the offset after it, -1 if it does not end."""
+    n = len(text)
+    stack: list[str] = []
+    while at < n:
+        if m := _SKIP.match(text, at):
+            if m.group()[0] in ",;" or m.group()[-1] in ",;":
+                key = ""
+            at = m.end()
+        elif text[at] in "{[(":
+            stack.append(key)
+            key, at = "", at + 1
+        elif text[at] in "}])":
+            stack.pop()
+            key, at = "", at + 1
+            if not stack:
+                yield at
+                return
+        elif m := _PAIR.match(text, at):
+            key, at = m.group("key"), m.end()
+        elif v := _scalar(text, at, n):
+            at = v[0]
+            yield [*above, *filter(None, stack), key], *v[1:]
+            key = ""
+        else:
+            at += 1
+    yield -1
+
+
+def _lines(text: str) -> Iterator[tuple[list[str], int, int, bool]]:
+    """Values of YAML, INI, TOML and properties lines and of the JSON-like maps in them."""
+    section: list[str] = []
+    parents: list[tuple[int, str]] = []
+    at, n = 0, len(text)
+    whole = True
+    while at < n:
+        m = _LINE.match(text, at)
+        start, end = m.start(2), m.end()
+        body = m.group(2)
+        at = end + 1
+        if not body.strip() or body.startswith(("#", ";", "//")):
+            continue
+        lead = m.group(1)
+        if not lead and (s := _SECTION.match(body)):
+            section, parents = [s.group(1)], []
+            continue
+        if body.startswith("---") and not lead:
+            section, parents = [], []
+            continue
+        dash = lead.find("-")
+        # an item of a list may stand as deep as the key above it
+        parents = [p for p in parents if p[0] < (len(lead) if dash < 0 else dash + 1)]
+        if dash >= 0:
+            parents = [p for p in parents if p[0] <= dash]
+        above = [*section, *(k for _, k in parents)]
+        key = ""
+        if p := _PAIR.match(text, start, end):
+            key, start = p.group("key"), p.end()
+            while start < end and text[start] in "&!":
+                start = min((k for k in (text.find(" ", start, end), end) if k >= 0)) + 1
+            rest = text[start:end].strip()
+            if not rest or rest[0] in "|>#" or re.fullmatch(r"\\", rest):
+                follows = re.compile(r"\s*([{\[])").match(text, end)
+                if not rest and follows:
+                    start = follows.start(1)
+                else:
+                    parents.append((len(lead), key))
+                    continue
+        opened = start if text.startswith(("{", "["), start) else -1 if key and text[start] in "\"'`" else text.find("{", start, end)
+        if opened >= 0 and not whole:
+            if opened == start and key:
+                parents.append((len(lead), key))
+        elif opened >= 0:
+            for v in _flow(text, opened, above, key if opened == start else ""):
+                if isinstance(v, tuple):
+                    yield v
+                elif v < 0:
+                    # a bracket without end: the rest is read again by lines alone
+                    whole = False
+                    if opened == start and key:
+                        parents.append((len(lead), key))
+                else:
+                    # what follows on the line is no key of its own
+                    at = (text.find("\n", v) + 1 or n + 1) if v > end else at
+        elif (key or above) and (v := _scalar(text, start, end)) and (v[3] or text[v[0] : end].strip()[:1] in ("", "#", ",", ";")):
+            yield [*above, key], *v[1:]
+
+
+def _elements(text: str) -> Iterator[tuple[list[str], int, int, bool]]:
+    """Texts and attributes of XML elements."""
+    stack: list[tuple[str, str]] = []
+    last: dict[str, int] = {}
+    for m in _ELEMENT.finditer(text):
+        if name := m.group("close"):
+            if any(t == name for t, _ in stack):
+                while stack.pop()[0] != name:
+                    pass
+            continue
+        if not (name := m.group("open")):
+            continue
+        given = {a.group(1).lower(): a for a in _ATTRIBUTE.finditer(text, m.start("attributes"), m.end("attributes"))}
+        named = next((given[k].group(2) or given[k].group(3) for k in ("name", "key") if k in given), None)
+        above = [t for _, t in stack]
+        for k, a in given.items():
+            g = 2 if a.group(2) is not None else 3
+            if k not in ("name", "key"):
+                yield [*above, name, *([named] if named and k == "value" else [k])], a.start(g), a.end(g), True
+        if m.group("empty"):
+            continue
+        own = named or name
+        if (inner := _INNER.match(text, m.end())) and inner.group(3) == name:
+            g = 1 if inner.group(1) else 2
+            yield [*above, own], inner.start(g), inner.end(g), True
+        # a type argument is no element: those end, or stand alone on their line
+        if name not in last:
+            last[name] = text.rfind(f"</{name}")
+        if last[name] > m.start() or not text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip() and text[m.end() : m.end() + 1] in ("\n", "\r"):
+            stack.append((name, own))
+
+
+def nested(text: str, raw: bytes) -> list[tuple[str, int, int, bool]]:
+    """(key path, start, end, quoted) of the values that the configuration formats in a text hold under a sensitive path."""
+    if not _NESTED.search(raw):
+        return []
+    values = [*_lines(text), *(_elements(text) if "<" in text else ())]
+    return [(".".join(filter(None, map(key_name, path))), lo, hi, quoted) for path, lo, hi, quoted in values if hi - lo >= 6 and sensitive_path(path)]
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of credentials, in order and without overlap; offsets are characters."""
     # one byte for each character, so offsets agree
@@ -174,7 +343,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
         scheme = m.group()[:5].lower() != "token" or re.search(r"[\"'`:=][ \t]*$", text[max(0, m.start() - 8) : m.start()])
         if scheme and not _PLACEHOLDER.fullmatch(v) and (secret_shape(v) or len(v) >= 20 and v.endswith("=")):
             spans.append((m.start(1), m.end(1), "authorization"))
-    for _, lo, hi, quoted in assignments(text, raw):
+    for _, lo, hi, quoted in (*assignments(text, raw), *nested(text, raw)):
         if secret_shape(text[lo:hi], quoted) and "://" not in text[lo:hi] and "-----BEGIN" not in text[lo:hi]:
             spans.append((lo, hi, "key_value"))
     spans.sort(key=lambda s: (s[0], -s[1]))
@@ -228,7 +397,8 @@ def credential_spans(chunks: DataFrame) -> DataFrame:
                 spans = find(text)
                 if spans:
                     feeds = [m.start() for m in re.finditer("\n", text)]
-                    rows += [(point, bisect_right(feeds, lo) + 1, kind, _path_before(text, lo) if kind == "key_value" else None, len(text[:lo].encode()), len(text[:hi].encode())) for lo, hi, kind in spans]
+                    paths = {lo: path for path, lo, _, _ in nested(text, text.encode("ascii", "replace").lower())}
+                    rows += [(point, bisect_right(feeds, lo) + 1, kind, (paths.get(lo) or _path_before(text, lo)) if kind == "key_value" else None, len(text[:lo].encode()), len(text[:hi].encode())) for lo, hi, kind in spans]
             types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], names=["point_id", "line_no", "kind", "key_path", "byte_start", "byte_end"])
 

@@ -100,6 +100,22 @@ def test_credentials_in_spark(spark):
     assert C.redacted(df).count() == 1 and C.credential_lines(df.limit(0)).count() == 0
 
 
+def test_credentials_below_a_sensitive_parent():
+    v = "Tide!" + "Sparse1311x"
+    yes = {
+        f"credentials:\n  github: {v}\n": "credentials.github", f"[db.password]\nvalue = {v}\n": "db.password.value", f"secrets.github.value={v}": "secrets.github.value", f"<credentials><github>{v}</github></credentials>": "credentials.github",
+        f"<password>{v}</password>": "password", f'<property name="db.password">\n  {v}\n</property>': "db.password", f'<add key="dbPassword" value="{v}"/>': "add.db_password", f'{{"credentials": {{"github": "{v}", "name": "abc1234567"}}}}': "credentials.github",
+        f'f({{ secrets: {{ a: 1, github: "{v}" }} }})': "secrets.github", f'"secrets":\n{{\n "a": ["{v}"]\n}}': "secrets.a", f"tokens:\n- {HEX}\n": "tokens", f"secret:\n  a: |\n    {v}\n": "secret.a", f"api:\n  key: {HEX}\n": "api.key", f"api_keys:\n  - name: x\n    value: {v}\n": "api_keys.value",
+        f"a: {{\nsecrets:\n  b: '{v}'\n": "secrets.b",
+    }
+    for t, path in yes.items():
+        (lo, hi, kind), = C.find(t)
+        assert t[lo:hi] in (v, HEX) and kind == "key_value" and [p for p, at, _, _ in C.nested(t, t.encode().lower()) if at == lo][:1] == [path], t
+    no = [f"auth:\n  user_id: {HEX}\n", f"cache:\n  key: {HEX}\n", f"secrets:\n  sha256: {HEX}\nother:\n  c: {v}\n", f"credentials: {{ a: 1 }}\nother: '{v}'\n", f"[secrets]\na = 1\n[other]\nx = {v}\n", f"List<Token> a;\n<b>{v}</b>", f"<token></token><b>{v}</b>"]
+    for t in no:
+        assert C.find(t) == [], t
+
+
 # syntax
 
 
