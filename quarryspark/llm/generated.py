@@ -90,24 +90,25 @@ def published(patterns: list[str]) -> bool:
     return any(p in _PUBLISHED_DIRECTORIES or p.startswith(_PUBLISHED_ENDINGS) or p == "versioned:" for p in patterns)
 
 
-def header(text: str, most: int = 4000) -> str:
-    """The comments before the first code. Very long comments are read to ``most`` characters: what names a tool stands at the top."""
-    at, out = 0, []
-    n = min(len(text), most)
-    while at < n:
-        m = re.compile(r"[\s﻿]+|#[^\n]*|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|<!--[\s\S]*?(?:-->|\Z)|\"{3}[\s\S]*?(?:\"{3}|\Z)|'{3}[\s\S]*?(?:'{3}|\Z)|--[^\n]*|['\"]use strict['\"];?").match(text, at)
-        if not m:
-            break
-        out.append(m.group()[:most])
+_LEADING = re.compile(r"[\s﻿]+|#[^\n]*|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|<!--[\s\S]*?(?:-->|\Z)|\"{3}[\s\S]*?(?:\"{3}|\Z)|'{3}[\s\S]*?(?:'{3}|\Z)|--[^\n]*|['\"]use strict['\"];?")
+
+_RULES = re.compile(r"(/){101,}|\n[\s/*!]*\n")
+
+
+def header(text: str) -> str:
+    """The comments before the first code, whole."""
+    at = 0
+    while m := _LEADING.match(text, at):
         at = m.end()
-    return "".join(out)
+    return text[:at]
 
 
 def says(text: str, markdown: bool = False) -> bool:
     head = header(text)
     if markdown:
         head = "".join(m.group() for m in re.finditer(r"<!--[\s\S]*?-->", head))
-    return bool(_SAYS.search(head))
+    # lines and rules of comment marks alone say nothing, and are slow to look through
+    return bool(_SAYS.search(_RULES.sub(lambda m: m.group()[:100] if m.group(1) else "\n", head)))
 
 
 def minified(text: str) -> bool:

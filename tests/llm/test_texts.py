@@ -181,6 +181,13 @@ def test_evidence():
     assert not G.published(G.path_patterns("src/vendor_portal/a.py")) and not G.published(G.path_patterns("app/minify/generator.js"))
 
 
+def test_header_after_a_long_licence():
+    licence = "/*\n" + " * Licensed under the terms that follow, without warranties of any kind.\n" * 200 + " */\n"
+    assert G.says(licence + "// Code generated by wiregen. DO NOT EDIT.\nlet a = 1\n") and G.says(licence[:-4] + " * This file is a vendored copy of x.\n */\nlet a = 1\n")
+    assert not G.says(licence + "let a = 1\n// Code generated by wiregen. DO NOT EDIT.\n")
+    assert G.says("/" * 200_000 + "\n" * 200_000 + "// Code generated by wiregen. DO NOT EDIT.\n")
+
+
 def test_generated_in_spark(spark):
     rows = [(i, "o", f"r{i % 4}", f"codegen_out/f{i}.ts", "// Code generated by x. DO NOT EDIT.\nlet a = 1\n" if i < 8 else "let a = 1\n") for i in range(12)]
     rows += [(100, "o", "r0", ".gitattributes", "hand.ts linguist-generated\nvendor/own.ts -linguist-vendored\n"), (101, "o", "r0", "hand.ts", "let b = 2\n"), (102, "o", "r0", "vendor/own.ts", "let c = 3\n"), (103, "o", "r1", "hand.ts", None), (104, "o", "r1", "vendor/x.ts", None), (105, "o", "r1", "src/a.ts", ""), (101, "o", "r0", "hand.ts", "let b = 2\n")]
