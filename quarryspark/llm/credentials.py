@@ -29,7 +29,7 @@ ISSUED = re.compile(
     r"(?<![A-Za-z0-9_/+-])(?:"
     r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])"
     r"|AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"
-    r"|gh[pousr]_[0-9A-Za-z]{36,255}"
+    r"|gh[pousr]_[0-9A-Za-z]{36,}"
     r"|github_pat_[0-9A-Za-z_]{40,}"
     r"|xox[abeoprs]-[0-9A-Za-z-]{10,}"
     r"|(?:sk|rk)_(?:live|test)_[0-9A-Za-z]{16,}"
@@ -46,7 +46,9 @@ ISSUED = re.compile(
 _ISSUED_HINTS = (b"akia", b"asia", b"aiza", b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_", b"github_pat", b"xox", b"k_live_", b"k_test_", b"sk-", b"glpat-", b"sg.", b"npm_", b"pypi-", b"hf_", b"ya29.", b"eyj")
 _KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://([^\s:/@\"'`<>]*):([^\s/\"'`]{1,200}?)@(?=[\w\[.$<{-])", re.I)
+# the rest of a block without an end: header lines and runs of base64, each up to where its line or string ends
+_KEY_OPEN = re.compile(r"(?:(?:\\[nr]|[\s\"'`+#*\\]|//)*(?:(?:Proc-Type|DEK-Info|Version|Comment):[^\n\\]*|=?(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]+={1,2}|(?<==)[A-Za-z0-9+/]{4})(?=[ \t]*(?:[\"'`\\+\r\n]|\Z))))*")
+_URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://([^\s:/@\"'`<>]*):([^\s/\"'`]+?)@(?=[\w\[.$<{-])", re.I)
 _AUTH = re.compile(r"(?<![\w-])(?:bearer|basic|token)[ \t]+([A-Za-z0-9+/=._~-]{16,})", re.I)
 # the last word of a key that may be sensitive, what closes the key, and what leads to a value
 _TAIL = re.compile(
@@ -56,8 +58,8 @@ _TAIL = re.compile(
 _VALUE = re.compile(
     r"""(?:[ \t]*[A-Za-z_][\w.<>\[\]|]*[ \t]*=(?!=))?[ \t(]*(?:\r?\n[ \t]*(?:(?:value|default)["']?[ \t]*[:=][ \t]*)?)?
 (?:(?:[A-Za-z_][\w.]*(?:[ \t]+[A-Za-z]+)?\([ \t]*|[rbfu]{1,2}(?=["']))?
-(?P<quote>\"{3}|'{3}|["'`])(?P<text>[^"'`\n]{4,400})(?P=quote)
-|(?P<bare>[^\s"'`,;(){}\[\]<>|]{6,400})(?=[\s,;|]|$))""",
+(?P<quote>\"{3}|'{3}|["'`])(?:(?P<text>(?:\\.|(?!(?P=quote))[^\\\n]){4,}+)|(?P<plain>[^"'`\n]{4,}+))(?P=quote)
+|(?P<bare>[^\s"'`,;(){}\[\]<>|]{6,}+)(?=[\s,;|]|$))""",
     re.X,
 )
 _KEY_CHARS = re.compile(r"[\w.\-]*$")
@@ -137,7 +139,11 @@ def key_path(text: str, at: int) -> str:
 
 def assignments(text: str, raw: bytes) -> Iterator[tuple[str, int, int, bool]]:
     """(key, start, end, quoted) of every value whose key is sensitive."""
+    held = 0
     for m in _TAIL.finditer(raw):
+        # what looks like a key within a long credential is part of it
+        if m.end() < held:
+            continue
         v = _VALUE.match(text, m.end())
         if not v:
             continue
@@ -145,8 +151,11 @@ def assignments(text: str, raw: bytes) -> Iterator[tuple[str, int, int, bool]]:
         head = _KEY_CHARS.search(text[max(0, m.start() - 120) : tail]).group()
         if not sensitive(key_name(head)):
             continue
-        group = "text" if v.group("quote") else "bare"
-        yield head, v.start(group), v.end(group), group == "text"
+        group = next(g for g in ("text", "plain", "bare") if v.group(g) is not None)
+        lo, hi = v.span(group)
+        yield head, lo, hi, group != "bare"
+        if hi - lo > 400 and secret_shape(text[lo:hi], group != "bare"):
+            held = hi
 
 
 # words a sensitive path holds, in a place other than a leaf before its value: a map or list below, a section, a dotted name, an element, a leaf "key"
@@ -324,13 +333,13 @@ def find(text: str) -> list[tuple[int, int, str]]:
     spans: list[tuple[int, int, str]] = []
     for m in _KEY_BLOCK.finditer(text) if b"private key" in raw else ():
         end = _KEY_END.search(text, m.end())
-        stop = end.start() if end else len(text)
         other = _KEY_BLOCK.search(text, m.end())
-        if other and other.start() < stop:
-            stop = other.start()
-        body = re.sub(r"\\[nr]|[\s\"'+#*/\\]|//", "", text[m.end() : min(stop, m.end() + 400)])
+        if end and other and other.start() < end.start():
+            end = None
+        stop = end.start() if end else _KEY_OPEN.match(text, m.end(), other.start() if other else len(text)).end()
+        body = re.sub(r"\\[nr]|[\s\"'+#*/\\]|//", "", text[m.end() : min(end.start() if end else other.start() if other else len(text), m.end() + 400)])
         if re.match(r"(?:Proc-Type|DEK-Info|Version|Comment)", body) or re.match(r"[A-Za-z0-9+=]{24,}", body):
-            spans.append((m.start(), end.end() if end and stop == end.start() else stop, "private_key"))
+            spans.append((m.start(), end.end() if end else stop, "private_key"))
     for m in ISSUED.finditer(text) if any(h in raw for h in _ISSUED_HINTS) else ():
         if "EXAMPLE" not in m.group() and not re.search(r"(?i)x{6,}|0{8,}|\*{3,}|12345678|your", m.group()):
             spans.append((m.start(), m.end(), "issued_token"))

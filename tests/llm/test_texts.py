@@ -116,6 +116,23 @@ def test_credentials_below_a_sensitive_parent():
         assert C.find(t) == [], t
 
 
+def test_long_values_and_open_key_blocks():
+    long = (HEX + "Zq") * 30
+    for t in (f'access_token = "{long}"', f"SESSION_TOKEN={long}\n", f'keystorePass = "{long}/+=="', f"u = redis://lever:{long}@h.example/x"):
+        (lo, hi, _), = C.find(t)
+        assert len(t[lo:hi]) >= len(long) and long not in C.redact(t, C.find(t))
+    for value in ("bl0ck'$4810xQ", "bl0ck\\\"$4810xQ", "bl0ck`$4810xQ"):
+        t = f'dbPassword = "{value}"'
+        assert [t[lo:hi] for lo, hi, _ in C.find(t)] == [value]
+    body = "Qf" * 32
+    for block, after in ((f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n{body[:21]}\n", "some_setting = 5\n"), (f'k = "-----BEGIN PRIVATE KEY-----\\n{body}\\n{body}";\n', "f()\n"), (f"-----BEGIN PRIVATE KEY-----\n{body}\nlongIdentifierName = 5\n", "")):
+        t = f"{block}{after}secret_key = '{HEX}'\n"
+        (lo, hi, kind), (at, _, _) = C.find(t)
+        assert kind == "private_key" and hi < len(block) and t[at:].startswith(HEX)
+        out = C.redact(t, C.find(t))
+        assert body not in out and HEX not in out and after in out
+
+
 # syntax
 
 
