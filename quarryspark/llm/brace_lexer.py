@@ -77,6 +77,7 @@ def find_error(text: str, language: str) -> str | None:
         at = 1
     if text.startswith("#!", at) and not java:
         at = text.find("\n") if "\n" in text else n
+    known: dict[int, int] = {}
     stack: list[_Frame] = [_Frame("", "block")]
     state, last, last2, fresh = START, "", "", True
     head = declared = ""
@@ -188,7 +189,7 @@ def find_error(text: str, language: str) -> str | None:
                 if script:
                     return "markup"
                 if markup and not _GENERIC_ARROW.match(text, begin):
-                    end = _markup(text, begin, stack)
+                    end = _markup(text, begin, stack, known)
                     if end is None:
                         return "markup"
                     at, mode = end
@@ -201,14 +202,14 @@ def find_error(text: str, language: str) -> str | None:
                 if not markup and (text.startswith("<!", begin) or text.startswith("</", begin) or text.startswith("<>", begin)):
                     return "markup"
                 # type parameters or an assertion: an operand is still due
-                depth_end = _angle(text, begin)
+                depth_end = _angle(text, begin, known)
                 if depth_end < 0:
                     return "markup"
                 at = depth_end
                 state, last2, last = (OPERATOR if state == OPERATOR else state), last, ">"
                 fresh = False
                 continue
-            if op == "<" and state == OPERAND and not script and (end := _angle(text, begin)) > 0:
+            if op == "<" and state == OPERAND and not script and (end := _angle(text, begin, known)) > 0:
                 # type arguments stay within the operand before them
                 at, last2, last = end, last, ">"
                 fresh = False
@@ -376,7 +377,7 @@ def find_error(text: str, language: str) -> str | None:
                 continue
             if top.kind == "field":
                 # back into markup
-                end = _markup(text, at, stack, True)
+                end = _markup(text, at, stack, known, True)
                 if end is None:
                     return "markup"
                 at, mode = end
@@ -452,35 +453,57 @@ def _template(text: str, at: int, stack: list[_Frame]) -> int:
     return end + 2
 
 
-def _angle(text: str, at: int) -> int:
-    """End of a list of type arguments that begins at, -1 if it is none."""
-    depth, n = 0, len(text)
+_ASIDE = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|//[^\n]*|/\*[\s\S]*?\*/")
+
+
+def _angle(text: str, at: int, known: dict[int, int]) -> int:
+    """End of a list of type arguments that begins at, -1 if it is none. known has the ends found so far: a scan settles every list it meets."""
+    if at in known:
+        return known[at]
+    n, first = len(text), at
+    # of each open list: where it begins, the brackets around it, whether it can still be one
+    lists: list[list[int]] = []
     square = 0
-    limit = min(n, at + 600)
-    while at < limit:
+    while at < n:
         c = text[at]
         if c == "<":
-            depth += 1
+            lists.append([at, square, 1])
         elif c == ">":
             if text[at - 1] != "=" and text[at - 1] != "-":
-                depth -= 1
-                if depth == 0:
-                    return at + 1 if square == 0 else -1
+                begin, level, open_ = lists.pop()
+                known[begin] = at + 1 if open_ and square == level else -1
+                if not lists:
+                    return known[first]
         elif c in "([{":
             square += 1
         elif c in ")]}":
             square -= 1
             if square < 0:
-                return -1
-        elif c == ";" and not square or c == "&" and text.startswith("&&", at) or c == "|" and text.startswith("||", at) or c in "+*/%!`^~" or c == "=" and text.startswith("==", at):
-            return -1
+                break
+            for x in reversed(lists):
+                if x[1] <= square:
+                    break
+                x[2] = 0
+        elif c in "\"'/" and (m := _ASIDE.match(text, at)):
+            at = m.end()
+            continue
+        elif c == ";":
+            if not square:
+                break
+            for x in reversed(lists):
+                if x[1] < square:
+                    break
+                x[2] = 0
+        elif c == "&" and text.startswith("&&", at) or c == "|" and text.startswith("||", at) or c in "+*/%!`^~" or c == "=" and text.startswith("==", at):
+            break
         elif c.isdigit() and not (text[at - 1].isalnum() or text[at - 1] in "_$") and text[at - 1] not in " <,|[":
-            return -1
+            break
         at += 1
+    known.update((x[0], -1) for x in lists)
     return -1
 
 
-def _markup(text: str, at: int, stack: list[_Frame], inside: bool = False) -> tuple[int, str] | None:
+def _markup(text: str, at: int, stack: list[_Frame], known: dict[int, int], inside: bool = False) -> tuple[int, str] | None:
     """Follow markup from at. Returns (position, mode): mode "field" after the brace of a field, "end" after the last closing tag."""
     n = len(text)
     # the frames of open tags are of kind markup; .head is the tag's name, .char "<" in a tag, ">" in its content
@@ -520,7 +543,7 @@ def _markup(text: str, at: int, stack: list[_Frame], inside: bool = False) -> tu
             stack.append(_Frame("<", "markup", m.group()))
             at = m.end()
             if text.startswith("<", at):
-                at = _angle(text, at)
+                at = _angle(text, at, known)
                 if at < 0:
                     return None
             continue

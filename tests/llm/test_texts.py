@@ -167,6 +167,14 @@ def test_brace_syntax():
     assert X.syntax_error("a.md", "(") is None and X.syntax_error("a.js", None) is None and X.syntax_error("a.js", "") is None
 
 
+def test_long_type_arguments():
+    fields = " ".join(f"field{i}: Map<string, number[]>;" for i in range(60))
+    assert X.syntax_error("a.ts", f"const f = <T extends {{ {fields} }}>(x: T) => x;\n") is None
+    assert X.syntax_error("a.tsx", f"const f = <T extends {{ {fields} }}>(x: T) => x;\nconst m = new Map<{{ {fields} }}, string>();\n") is None
+    assert X.syntax_error("a.ts", f"const f = <T extends {{ {fields} }}(x: T) => x;\n")
+    assert X.syntax_error("a.ts", "x = a" + " < b" * 100_000 + ";\n") is None
+
+
 def test_syntax_in_spark(spark):
     df = spark.createDataFrame([(1, "o", "n", "a.py", "x = (", 1), (1, "o", "n", "a.py", "x = (", 1), (2, "o", "n", "b.py", "x = 1", 1), (3, None, None, "c.JS", "}", 1), (4, "o", "n", "d.md", "}", 1), (5, "o", "n", "e.ts", None, 1)], "file_id bigint, owner string, name string, path string, content string, error int")
     assert {r.file_id for r in X.broken_files(df).collect()} == {1, 3}
