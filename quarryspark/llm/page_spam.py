@@ -57,11 +57,10 @@ def _keyword(words: list[str], counts: Counter) -> tuple[tuple[str, ...], int]:
     """The phrase of content words that covers most of the words, and how often it occurs: one word, two, or two about a function word."""
     best, times, covered = (), 0, 0
     pairs = Counter(zip(words, words[1:]))
-    for p, n in pairs.most_common(12):
-        if n >= 3 and p[0] not in STOP and p[1] not in STOP:
-            best, times, covered = p, n, 2 * n
-            break
-    one, n = max(((w, c) for w, c in counts.most_common(12) if w not in STOP and not w.isdigit()), key=lambda x: x[1], default=("", 0))
+    p, n = max(((p, c) for p, c in pairs.items() if c >= 3 and p[0] not in STOP and p[1] not in STOP), key=lambda x: x[1], default=((), 0))
+    if p:
+        best, times, covered = p, n, 2 * n
+    one, n = max(((w, c) for w, c in counts.items() if w not in STOP and not w.isdigit()), key=lambda x: x[1], default=("", 0))
     if n >= 4 and n >= 0.08 * len(words):
         around = Counter(t for t in zip(words, words[1:], words[2:]) if t[1] in STOP and t[0] not in STOP and t[2] not in STOP)
         t, k = max(around.items(), key=lambda x: x[1], default=((), 0))

@@ -274,6 +274,16 @@ def spam(i):
 PROSE = "The cache keeps at most one entry, and the oldest goes first. Nobody should write the row directly. When two workers load it, the later one wins. "
 
 
+def test_keyword_behind_function_words():
+    from collections import Counter
+
+    words = [w for a in ("of", "in", "to", "for") for b in ("the", "a", "an", "and") for w in (a, b) * 6] + ["golden", "library"] * 5
+    assert S._keyword(words, Counter(words))[0] == ("golden", "library")
+    words = [w for w in sorted(S.STOP)[:20] for _ in range(9)] + ["golden"] * 8
+    words = words[:80] + words[-8:]
+    assert S._keyword(words, Counter(words)) == (("golden", "golden"), 7)
+
+
 def test_pages(spark):
     rows = [(i, "bad" if i % 2 else "mixed", spam(i)) for i in range(90)] + [(1000 + i, "good" if i % 2 else "mixed", f"# Title {i}\n\n" + PROSE * (1 + i % 4)) for i in range(200)]
     rows += [(5000, None, PROSE + spam(0)), (5001, "good", PROSE * 12 + "\n\nhttps://a.example/x\n#tag"), (5002, "good", "\n".join(f"- [name {j}](https://a.example/{j}): This page says how the cache of part {j} is read and written." for j in range(20))), (5003, "bad", None), (5004, "bad", ""), (5005, "good", "```\n" + "x = f(a)\n" * 40 + "```\n"), (0, "mixed", spam(0))]
