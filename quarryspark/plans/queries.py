@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..operators import bm25, citations, evaluate, fusion, graph, incremental, l
 from ..sources import tables as T
 from ..sources.checkpoints import settle
 
+Questions = Callable[[SparkSession, str], DataFrame]
+
 
 def _selection(spark: SparkSession, d: str) -> DataFrame:
     return scan.selection(T.scanned_files(spark, d), T.file_texts(spark, d))
@@ -88,8 +92,8 @@ def inverse_frequency(spark: SparkSession, d: str) -> DataFrame:
     return bm25.inverse_frequency(bm25.document_frequency(tokens), bm25.corpus_stats(tokens)).select("term", F.round("idf", 6).alias("idf"))
 
 
-def _keyword(spark: SparkSession, d: str, limit: int) -> DataFrame:
-    return bm25.search(T.chunks(spark, d), T.eval_questions(spark, d), limit)
+def _keyword(spark: SparkSession, d: str, limit: int, questions: Questions = T.eval_questions) -> DataFrame:
+    return bm25.search(T.chunks(spark, d), questions(spark, d), limit)
 
 
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
@@ -107,17 +111,17 @@ def embedding_buckets(spark: SparkSession, d: str) -> DataFrame:
     return vector.term_buckets(T.chunks(spark, d), "point_id", "content")
 
 
-def _semantic(spark: SparkSession, d: str, limit: int) -> DataFrame:
-    return vector.search(vector.embed(T.chunks(spark, d), "point_id", "content"), vector.embed(T.eval_questions(spark, d), "query_id", "query"), limit)
+def _semantic(spark: SparkSession, d: str, limit: int, questions: Questions = T.eval_questions) -> DataFrame:
+    return vector.search(vector.embed(T.chunks(spark, d), "point_id", "content"), vector.embed(questions(spark, d), "query_id", "query"), limit)
 
 
 def semantic_search(spark: SparkSession, d: str) -> DataFrame:
     return _semantic(spark, d, 10)
 
 
-def _pools(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _pools(spark: SparkSession, d: str, questions: Questions = T.eval_questions) -> tuple[DataFrame, DataFrame]:
     """The candidates of both searches, settled: a few rows a query, read by every variant."""
-    return settle(_semantic(spark, d, LIMITS.pool)), settle(_keyword(spark, d, LIMITS.pool))
+    return settle(_semantic(spark, d, LIMITS.pool, questions)), settle(_keyword(spark, d, LIMITS.pool, questions))
 
 
 def _hybrid(spark: SparkSession, d: str, limit: int) -> DataFrame:
@@ -223,9 +227,9 @@ def _located(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "rank", "point_id").join(T.chunks(spark, d).select("point_id", "file_path"), "point_id")
 
 
-def _variants(spark: SparkSession, d: str) -> DataFrame:
-    v, k = _pools(spark, d)
-    q = T.eval_questions(spark, d)
+def _variants(spark: SparkSession, d: str, questions: Questions = T.eval_questions) -> DataFrame:
+    v, k = _pools(spark, d, questions)
+    q = questions(spark, d)
     pool = settle(fusion.fuse(v, k, LIMITS.pool))
     first = lambda h: h.where("rank <= 10")
     hits = {"semantic": first(v), "keyword": first(k), "hybrid": first(pool), "hybrid_rerank": fusion.rerank(pool, q, T.chunks(spark, d), 10)}
@@ -244,9 +248,26 @@ def retrieval_by_category(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.ranking_metrics(_variants(spark, d), "variant", "category")
 
 
+def _misses(spark: SparkSession, d: str, questions: Questions) -> DataFrame:
+    files = evaluate.ranked_files(_located(spark, d, _keyword(spark, d, 10, questions)))
+    return evaluate.misses(evaluate.first_correct(files, questions(spark, d)), files)
+
+
 def keyword_misses(spark: SparkSession, d: str) -> DataFrame:
-    files = evaluate.ranked_files(_located(spark, d, _keyword(spark, d, 10)))
-    return evaluate.misses(evaluate.first_correct(files, T.eval_questions(spark, d)), files)
+    return _misses(spark, d, T.eval_questions)
+
+
+def retrieval_metrics_all(spark: SparkSession, d: str) -> DataFrame:
+    """Over every labelled question; retrieval_metrics keeps to the question set of its SQL."""
+    return evaluate.ranking_metrics(_variants(spark, d, T.all_questions), "variant")
+
+
+def retrieval_by_category_all(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.ranking_metrics(_variants(spark, d, T.all_questions), "variant", "category")
+
+
+def keyword_misses_all(spark: SparkSession, d: str) -> DataFrame:
+    return _misses(spark, d, T.all_questions)
 
 
 def answer_prompts(spark: SparkSession, d: str) -> DataFrame:
@@ -309,7 +330,7 @@ QUERIES = {
         scan_selection, scan_skip_reasons, scan_totals, count_by_extension, count_by_directory, largest_files, secret_files, line_counts, line_windows, symbol_chunking, chunk_totals,
         count_by_symbol_type, chunk_previews, token_counts, document_frequency, inverse_frequency, bm25_search, vector_topk, embedding_buckets, semantic_search, hybrid_search, reranked_search,
         citation_check, citation_containment, unverified_citations, refusal_rates, snapshot_difference, reindex_summary, reindexed_windows, kept_chunks, module_index, script_imports, import_edges,
-        python_imports, dependency_nodes, retrieval_metrics, retrieval_by_category, keyword_misses, answer_prompts, reference_listing, test_files, evidence, repository_references, failure_statuses,
+        python_imports, dependency_nodes, retrieval_metrics, retrieval_by_category, keyword_misses, retrieval_metrics_all, retrieval_by_category_all, keyword_misses_all, answer_prompts, reference_listing, test_files, evidence, repository_references, failure_statuses,
         rate_limit_replay, calls_in_window, answer_cache_replay,
     )
 }

@@ -93,3 +93,13 @@ def test_prompts(spark):
     got = {r.query_id: r.prompt for r in prompts.prompts(q, h).collect()}
     assert got[0].index("Excerpt 1: a.py:3-4 (class C)") < got[0].index("Excerpt 2: b.py:1-2 (symbol f)") and got[0].endswith("Question: why")
     assert "(no excerpts found)" in got[1]
+
+
+def test_metrics_over_every_question(spark):
+    from quarryspark.plans import queries as Q
+
+    d = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{d}/eval_items.parquet").count()
+    assert {r.questions for r in Q.QUERIES["retrieval_metrics_all"](spark, d).collect()} == {n}
+    some = {r.variant: r for r in Q.QUERIES["retrieval_metrics"](spark, d).collect()}
+    assert all(0 < r.questions < n for r in some.values())
