@@ -1,21 +1,31 @@
 """Defective question-answer pairs: clauses tagged by a linear-chain conditional random field, tags aggregated per pair.
 
-An answer is cut into clauses (sentences, list items, headings, code blocks, citations). Each clause is tagged answer, refusal,
-echo, foreign or unfinished from features of its wording, its language against the question's, its likeness to the question and
-its end. The field's weights are fitted to weakly labelled answers: at most ``SAMPLE`` pairs, those with the least hash; the bound is a
-parameter, everything else covers all pairs. The share of words under each tag decides the defect, the old run's flag is not read.
+An answer is cut into clauses (sentences, list items, headings, code blocks, citations). The field tags each clause answer, refusal,
+echo, foreign or unfinished. Labels and features are different views, so the field is not a copy of its labelling rules:
+
+* *Labels* of a bounded sample: cue phrases and the old run's flag (wrong at times) for refusals, function words for language, copies, ends without a stop. Pairs whose flag and
+  cues disagree are labelled by a field fitted to the other half of the sample. Sampled answers that are whole are also cut at random places, joined to their question
+  or put under a question of another language, which gives unfinished, echo and foreign clauses whose tag is known.
+* *Features*: the clause's words and pairs of words, hashed; its last word and the shape of its end; its language by a word and trigram model learned from the sample; its overlap with the question;
+  its kind and place. Cues are features too, hidden in half of the training clauses, so that words have to carry a tag without them. Verdicts never read the flag.
+
+The sample holds at most ``SAMPLE`` pairs, those with the least hash; the bound is a parameter, everything else covers all pairs and whole answers. The share of words under
+each tag decides the defect.
 
 ``empty``: a null answer, or one without a word beside stand-ins for a missing answer. A null or empty question has no language and
-nothing to copy, so only empty, truncated and refusal can be found. Repeated rows of a pair count once.
+nothing to copy, so only empty, truncated and refusal can be found. Repeated rows of a pair count once. Without a ``refused`` column the cues alone label refusals.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,22 +33,36 @@ from .common import bounded_sample, require
 
 TAGS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
-SAMPLE, STEPS, RATE, PENALTY = 3000, 250, 0.2, 1e-5
+SAMPLE, STEPS, RATE, PENALTY, SEED = 3000, 60, 0.25, 2e-5, 7
+#: Hashed word features, and clauses in one training piece: longer answers are fitted in several pieces.
+WIDTH, PIECE = 1 << 15, 64
+#: By how much a field has to prefer a refusal before a pair without the flag loses its label.
+MARGIN = 6.0
+#: Corrupted answers are made until there are about so many, or one of each sampled answer.
+MADE = 1500
 
 _WORD = re.compile(r"[^\W_]+")
 # fixed values: stand-ins for a missing answer
 _STAND_IN = re.compile(r"(?:n/?a|n\.a\.?|null|none|nil|nan|undefined|todo|tbd|tba|fixme|empty|blank|no answer|no response|not available|not answered|missing|pending|keine antwort|k\.?a\.?|leer|cevap yok|yanıt yok|yok|boş|sin respuesta|pas de réponse|answer|response|cevap|yanıt|antwort)", re.I)
 
-# fixed values: function words and frequent words by language
+# fixed values: function words by language; seeds of the learned language model
 _LANGUAGE = {
-    "en": "the a an of to is are was be been it its that this these those with for and or not but by from on in at as which what when where why how who whom whose does do did can could would should will may might if than then there here you i we they he she each every both neither nor one two never no only until after before while because so once about into over through have has had keeps calls stays looks see set call",
-    "tr": "ve veya bir bu şu için ile en fazla olarak gibi daha çok ne neden nasıl hangi kim nerede var yok mı mi mu mü değil ise ki de da her sonra önce göre kadar olan olur oluyor olarak kez kaç icindeki içindeki dosya dosyada satir satır kullanilir kullanılır yazilir çünkü artık gerekli hata yalnızca böylece bu adimda yeni sürümde ayrı aynı tutar sınırı yapmadan çalıştırmadan ediyor sürdü alındı",
-    "de": "der die das den dem des ein eine einen einem einer und oder aber nicht ist sind war wird werden wurde mit für auf von zu zum zur im in am an nach noch nur wenn wann warum wo was wie wer bei man dass es sich keine kein zwischen jede jeder jedes danach zuerst damit weil mehr als gibt haben hat ich wir",
-    "fr": "le la les un une des du de et ou est sont était pas pour par dans sur avec que qui quoi ce cette il elle nous vous ne au aux avant depuis si lorsque puis chaque où comment pourquoi quand fonction fichier passé faut être plus",
-    "es": "el los las la un una uno y o es son fue no por para con se su de del al lo que en a cada antes después hay si como cuando donde cuál qué porque función archivo desde sin más está según usa fuera nadie unos",
+    "en": "the a an of to is are was be been it its that this these those with for and or not but by from on in at as which what when where why how who whom whose does do did can could would should will may might if than then there here you i we they he she each every both neither nor no only until after before while because so once about into over through have has had",
+    "tr": "ve veya bir bu şu için ile en olarak gibi daha çok ne neden nasıl hangi kim nerede var yok mı mi mu mü değil ise ki de da her sonra önce göre kadar olan olur çünkü artık böylece aynı ayrı kez",
+    "de": "der die das den dem des ein eine einen einem einer und oder aber nicht ist sind war wird werden wurde mit für auf von zu zum zur im in am an nach noch nur wenn wann warum wo was wie wer bei man dass es sich keine kein zwischen jede jeder jedes danach damit weil mehr als gibt haben hat ich wir",
+    "fr": "le la les un une des du de et ou est sont était pas pour par dans sur avec que qui quoi ce cette il elle nous vous ne au aux avant depuis si lorsque puis chaque où comment pourquoi quand être plus",
+    "es": "el los las la un una uno y o es son fue no por para con se su de del al lo que en a cada antes después hay si como cuando donde cuál qué porque desde sin más está según",
+    "it": "il lo gli la le un una di del della dello dei delle nel nella e è sono era che non per con come quando perché dove chi cosa anche questo questa ma più si al dal ogni prima dopo",
+    "pt": "o os a as um uma de do da dos das em no na e é são foi que não para por com como quando onde porque quem mas mais se ao este esta cada antes depois",
+    "nl": "de het een van en is zijn was niet voor met op dat die wordt worden als maar ook naar bij deze dit door om uit waar hoe waarom wanneer wie wat er geen elke voordat nadat",
+    "pl": "się nie jest są na w z do że jak to ale przez dla oraz po gdy kiedy gdzie dlaczego kto co każdy przed od czy tylko został",
+    "sv": "och att det som en ett är av för med inte den på till om har var när hur varför vem vad varje innan efter eller från inga",
 }
-_LETTERS = {"tr": "ğşıİ", "de": "ßä", "fr": "èêàùœë", "es": "ñ¿¡"}
 _STOPS = {k: frozenset(v.split()) for k, v in _LANGUAGE.items()}
+_SHARED = Counter(w for s in _STOPS.values() for w in s)
+_LETTERS = {"tr": "ğşıİ", "de": "ßä", "fr": "èêàùœë", "es": "ñ¿¡", "pt": "ãõ", "pl": "łęąśżź"}
+# fixed values: first code points of scripts that stand for one language here, in order
+_SCRIPTS = [(0x370, ""), (0x400, "el"), (0x530, "ru"), (0x590, ""), (0x600, "he"), (0x700, "ar"), (0x900, ""), (0x980, "hi"), (0xE00, ""), (0xE80, "th"), (0x3040, ""), (0x3100, "ja"), (0x4E00, ""), (0xA000, "zh"), (0xAC00, ""), (0xD7B0, "ko")]
 
 # fixed values: wording of refusals, by what they say
 _CUES = {
@@ -49,145 +73,339 @@ _CUES = {
     "instead": r"\b(?:only (?:describe|mention|cover|show|talk)s?|please (?:index|provide|share|add|rephrase)|ask again|index more)\b|beschreiben nur|bitte (?:weitere|mehr)|yalnızca .* hakkında|lütfen",
 }
 _CUE = {k: re.compile(v, re.I) for k, v in _CUES.items()}
+# fixed values: words of cues that every text is full of; each cue holds another one, and a clause without any of those is not searched
+_PLAIN = set("ai an as about be bir can code could do en have in is lo me more ne nicht no not on only pas sz that the to was what".split()) - {"can", "could", "have", "no"}
+_CUE_WORDS = re.compile("|".join(w if len(w) > 4 else f"^{w}" for w in sorted({w for v in _CUES.values() for w in re.findall(r"[^\W\d_]{2,}", re.sub(r"\\b|\(\?:", " ", v))} - _PLAIN)))
 _QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“\n]*“|«[^»\n]*»|`[^`\n]*`")
 _CITATION = re.compile(r"\(?\[?`?[\w./-]+\.\w+:\d+(?:-\d+)?`?\]?\)?[.;,]?")
 _ITEM = re.compile(r"\s*(?:[-*+•]|\d+[.)])\s+")
+_MARK = re.compile(r"\d+[.)]|[-*+•]")
 _BOUND = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+(?=\S)")
 _FINISHED = re.compile(r"[.!?…:;][\"'”»)\]*_]*$")
+_FENCE = re.compile(r"^[ \t]*```[^\n]*$\n?", re.M)
+_STOPPED = re.compile(r"[.!?…]")
+_NAME = re.compile(r"[\w./]+\([^)]*\)|\w+_\w+|[a-z]+[A-Z]\w*")
+_TOKEN = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“\n]*“|«[^»\n]*»|`[^`\n]*`|\w[\w./]*\([^()\n]*\)|[^\W_]+(?:[_./]+[^\W_]+)+|[^\W_]+")
+_CAMEL = re.compile(r"[a-z][A-Z]")
+_KEPT = re.compile(r"[.!?…\s]")
 
 
 def language(text: str) -> str | None:
+    """Language by function words and letters alone: the label view."""
     words = [w.lower() for w in re.findall(r"[^\W\d_]+", text)]
     if not words:
         return None
-    score = {k: float(sum(w in s for w in words)) for k, s in _STOPS.items()}
+    score = {k: sum(1 / _SHARED[w] for w in words if w in s) for k, s in _STOPS.items()}
     for k, letters in _LETTERS.items():
         score[k] += 1.5 * sum(any(c in letters for c in w) for w in words)
+    for w in words:
+        if s := _script(w):
+            score[s] = score.get(s, 0) + 1
     best = max(score, key=lambda k: score[k])
     rest = max(v for k, v in score.items() if k != best)
-    return best if score[best] >= 1 and score[best] > rest else None
+    return best if score[best] >= 0.5 and score[best] > rest else None
+
+
+def _script(word: str) -> str:
+    at = ord(word[0])
+    if at < 0x370:
+        return ""
+    return next((k for end, k in _SCRIPTS if at < end), "")
 
 
 def _bare(text: str) -> str:
     """Prose without quotations and names of code."""
-    return re.sub(r"[\w./]+\([^)]*\)|\w+_\w+|[a-z]+[A-Z]\w*", " ", _QUOTED.sub(" ", text))
+    return _NAME.sub(" ", _QUOTED.sub(" ", text))
 
 
 def clauses(answer: str) -> list[tuple[str, str]]:
     """(kind, text): prose, item, code, open (a code block without its end) or citation, in order."""
     out: list[tuple[str, str]] = []
-    parts = re.split(r"^[ \t]*```[^\n]*$\n?", answer, flags=re.M)
+    parts = _FENCE.split(answer) if "```" in answer else [answer]
     fences = len(parts) - 1
     for i, part in enumerate(parts):
         if i % 2:
             out.append(("open" if i == fences else "code", part))
             continue
         for line in part.split("\n"):
-            if not line.strip():
+            body = line.strip()
+            if not body:
                 continue
             kind = "item" if _ITEM.match(line) else "prose"
-            body = line.strip()
             # neither a path nor a quotation ends a sentence
-            safe = _QUOTED.sub(lambda m: re.sub(r"[.!?…\s]", "x", m.group()[:-1]) + m.group()[-1], body)
+            quoted = '"' in body or "`" in body or "“" in body or "„" in body or "«" in body
+            safe = _QUOTED.sub(lambda m: _KEPT.sub("x", m.group()[:-1]) + m.group()[-1], body) if quoted else body
             last = 0
             for m in [*_BOUND.finditer(safe), None]:
                 piece = body[last : m.start() if m else len(body)].strip()
                 if m:
                     last = m.end()
-                if not piece or re.fullmatch(r"\d+[.)]|[-*+•]", piece):
+                if not piece or _MARK.fullmatch(piece):
                     continue
-                c = _CITATION.fullmatch(piece)
-                out.append(("citation" if c else kind, piece))
+                out.append(("citation" if ":" in piece and _CITATION.fullmatch(piece) else kind, piece))
     return out
 
 
 def _norm(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text.replace("İ", "i").replace("I", "i"))]
+    if "İ" in text or "I" in text:
+        text = text.replace("İ", "i").replace("I", "i")
+    return _WORD.findall(text.lower())
+
 
+def ended(text: str) -> bool:
+    """Whether a clause stops as a sentence does, with its quotes and marks closed."""
+    return bool(_FINISHED.search(text)) and text.count("`") % 2 == 0 and text.count('"') % 2 == 0 or text.endswith(")") and bool(_CITATION.search(text[-60:]))
 
-FEATURES = ["bias", "same", "other", "unknown", "unable", "nothing", "sorry", "source", "instead", "cues2", "like", "copy", "asks", "first", "last", "ended", "cut", "open", "code", "item", "citation", "short", "code_name", "cut_last"]
 
+# the label view
 
-def featurize(question: str | None, answer: str) -> tuple[np.ndarray, list[int], list[str]]:
-    """Feature rows, words and kinds of the clauses."""
+
+def weak_tags(question: str | None, answer: str) -> list[int]:
+    """Labelling functions: one tag for each clause, from cues, function words, copies and ends."""
     parts = clauses(answer)
-    q = _norm(re.sub(r"`", "", question or ""))
-    q_language = language(_QUOTED.sub(" ", question or ""))
-    q_set = set(q)
-    # a clause of few words speaks the language of the whole
+    q = _norm((question or "").replace("`", ""))
+    q_set, q_language = set(q), language(_QUOTED.sub(" ", question or ""))
     whole = language(" ".join(_bare(t) for k, t in parts if k in ("prose", "item")))
-    rows, sizes = [], []
+    out: list[int] = []
     for i, (kind, text) in enumerate(parts):
-        f = dict.fromkeys(FEATURES, 0.0)
-        f["bias"] = 1
-        plain = _QUOTED.sub(" ", text)
+        if kind not in ("prose", "item"):
+            out.append(UNFINISHED if kind == "open" else ANSWER)
+            continue
+        cue = {k: bool(r.search(_QUOTED.sub(" ", text))) for k, r in _CUE.items()}
         words = _norm(text.replace("`", ""))
-        f["code"], f["open"], f["item"], f["citation"] = kind in ("code", "open"), kind == "open", kind == "item", kind == "citation"
-        f["first"], f["last"] = i == 0, i == len(parts) - 1
-        if kind in ("prose", "item"):
-            own = language(_bare(text)) or whole
-            f["same"], f["other"] = own is not None and own == q_language, own is not None and q_language is not None and own != q_language
-            f["unknown"] = not (f["same"] or f["other"])
-            hits = 0
-            for k, r in _CUE.items():
-                f[k] = bool(r.search(plain))
-                hits += f[k]
-            f["cues2"] = hits >= 2
-            if q_set and words:
-                inter = len(q_set & set(words))
-                f["like"] = inter / len(q_set | set(words)) >= 0.8
-                body = words[1:] if words[0] in ("q", "question", "soru", "frage") else words
-                f["copy"] = body == q or len(body) >= 0.6 * len(q) > 2 and body == q[: len(body)]
-            f["asks"] = text.rstrip("\"'”» ").endswith("?")
-            f["ended"] = bool(_FINISHED.search(text)) and text.count("`") % 2 == 0 and text.count('"') % 2 == 0 or bool(_CITATION.search(text[-60:]) and text.endswith(")"))
-            f["cut"] = not f["ended"]
-            f["code_name"] = "`" in text
-            f["short"] = len(words) <= 3
-        f["cut_last"] = (f["cut"] and f["last"]) or f["open"]
-        rows.append([float(f[k]) for k in FEATURES])
-        sizes.append(max(1, len(words)))
-    return np.array(rows).reshape(-1, len(FEATURES)), sizes, [k for k, _ in parts]
-
-
-def weak_tags(x: np.ndarray) -> list[int]:
-    """Labelling functions: one tag for each clause."""
-    at = {k: i for i, k in enumerate(FEATURES)}
-    out: list[int] = []
-    for r in x:
-        on = lambda k: r[at[k]] > 0
-        if on("copy") or on("like"):
+        body = words[1:] if words and words[0] in ("q", "question", "soru", "frage") else words
+        own = language(_bare(text)) or whole
+        if q_set and words and (body == q or len(body) >= 0.6 * len(q) > 2 and body == q[: len(body)] or len(q_set & set(words)) >= 0.8 * len(q_set | set(words))):
             tag = ECHO
-        elif on("cut_last"):
+        elif i == len(parts) - 1 and not ended(text) and not (kind == "item" and len(items := [t for k, t in parts[:i] if k == "item"]) > 1 and not any(map(ended, items))):
+            # a list none of whose items has a stop needs none at its end
             tag = UNFINISHED
-        elif on("unable") and (on("source") or on("sorry") or on("nothing")) or on("nothing") and (on("source") or on("sorry")) or on("sorry") and on("source") or on("sorry") and on("first"):
+        elif cue["unable"] and (cue["source"] or cue["sorry"] or cue["nothing"]) or cue["nothing"] and (cue["source"] or cue["sorry"]) or cue["sorry"] and (cue["source"] or i == 0):
             tag = REFUSAL
-        elif on("instead") and out and out[-1] == REFUSAL:
+        elif cue["instead"] and out and out[-1] == REFUSAL:
             tag = REFUSAL
-        elif on("other"):
-            tag = FOREIGN
         else:
-            tag = ANSWER
+            tag = FOREIGN if own and q_language and own != q_language else ANSWER
         out.append(tag)
     return out
 
 
+# the feature view
+
+
+class Tongue:
+    """Languages of words: learned counts where the sample has them, function words and scripts elsewhere."""
+
+    def __init__(self, texts: list[str]) -> None:
+        words: dict[str, Counter] = defaultdict(Counter)
+        grams: dict[str, Counter] = defaultdict(Counter)
+        for t in texts:
+            if k := language(t):
+                for w in re.findall(r"[^\W\d_]+", t.lower()):
+                    words[k][w] += 1
+                    if len(w) > 3:
+                        grams[k].update(f" {w} "[i : i + 3] for i in range(len(w)))
+        learned = {k: c for k, c in words.items() if c.total() >= 300}
+        self.lexicon: dict[str, tuple[str, float]] = {w: (k, 1.0 / _SHARED[w]) for k, s in _STOPS.items() for w in s if _SHARED[w] == 1}
+        for w in {w for c in learned.values() for w, n in c.items() if n >= 3}:
+            rate = sorted(((c[w] + 0.3) / (c.total() + 300), k) for k, c in learned.items())
+            if len(rate) == 1 or rate[-1][0] > 6 * rate[-2][0]:
+                self.lexicon[w] = (rate[-1][1], 1.0)
+            else:
+                self.lexicon.pop(w, None)
+        self.grams = {k: ({g: math.log(n + 0.5) for g, n in grams[k].items()}, math.log(grams[k].total() + 2000)) for k in learned} if len(learned) > 1 else {}
+
+    def of(self, word: str) -> tuple[str, float]:
+        """(language, weight) of a lower-case word; weight 0 if it says nothing."""
+        if found := self.lexicon.get(word):
+            return found
+        if s := _script(word):
+            return s, 1.0
+        for k, letters in _LETTERS.items():
+            if any(c in letters for c in word):
+                return k, 0.7
+        if len(word) > 3 and self.grams:
+            spelled = f" {word} "
+            at = [spelled[i : i + 3] for i in range(len(word))]
+            score = sorted((sum(c.get(g, -0.7) for g in at) - len(at) * total, k) for k, (c, total) in self.grams.items())
+            if score[-1][0] - score[-2][0] > 4:
+                return score[-1][1], 0.3
+        return "", 0.0
+
+
+FEATURES = ["bias", "first", "last", "item", "code", "open", "citation", "short", "same", "other", "unknown", "whole_other", "whole_same", "overlap_some", "overlap_most", "overlap_all", "in_order", "begins", "asks", "end_stop", "end_colon", "end_comma", "end_word", "end_sign", "end_open", "end_citation", "last_stop", "last_colon", "last_comma", "last_word", "last_sign", "last_open", "like_item", "unlike_item", "cue_unable", "cue_nothing", "cue_sorry", "cue_source", "cue_instead", "cue_two"]
+_BASE = len(FEATURES)
+_FIRST_CUE = FEATURES.index("cue_unable")
+
+
+class Reader:
+    """Turns pairs into clause features; words are looked up once and remembered."""
+
+    def __init__(self, tongue: Tongue) -> None:
+        self.tongue = tongue
+        self.known: dict[str, tuple[int, str, float, bool]] = {}
+
+    def _token(self, t: str) -> tuple[int, str, float, bool]:
+        """(feature, language, weight, whether the word occurs in a cue)."""
+        c = t[0]
+        if c in "\"“„«":
+            name, tongue = "<quote>", ("", 0.0)
+        elif t.isdigit():
+            name, tongue = "<number>", ("", 0.0)
+        elif c == "`" or "(" in t or "_" in t or "/" in t or "." in t or _CAMEL.search(t):
+            name, tongue = "<name>", ("", 0.0)
+        else:
+            name = t.replace("İ", "i").lower()
+            tongue = self.tongue.of(name)
+        if len(self.known) > 500_000:
+            self.known.clear()
+        found = self.known[t] = (xxhash.xxh32_intdigest(name) % WIDTH, *tongue, bool(_CUE_WORDS.search(name)))
+        return found
+
+    def _words(self, text: str) -> tuple[list[int], dict[str, float], bool]:
+        ids, score, cued = [], {}, False
+        known = self.known
+        for t in _TOKEN.findall(text):
+            f, k, w, c = known.get(t) or self._token(t)
+            ids.append(f)
+            if w:
+                score[k] = score.get(k, 0.0) + w
+            cued = cued or c
+        return ids, score, cued
+
+    @staticmethod
+    def _best(score: dict[str, float], least: float) -> str:
+        if not score:
+            return ""
+        best = max(score, key=score.__getitem__)
+        if score[best] < least:
+            return ""
+        return best if len(score) == 1 or score[best] > 1.5 * max(v for k, v in score.items() if k != best) else ""
+
+    def read(self, question: str | None, answer: str) -> tuple[list[list[int]], list[list[int]], list[int], list[str]]:
+        """(dense features, word features, words, kinds) of the clauses."""
+        parts = clauses(answer)
+        question = question or ""
+        q = _norm(question.replace("`", ""))
+        q_set, q_n = set(q), len(q)
+        q_language = self._best(self._words(_NAME.sub(" ", question))[1], 0.5)
+        read = []
+        total: dict[str, float] = {}
+        for kind, text in parts:
+            ids, score, cued = self._words(text) if kind in ("prose", "item") else ([], {}, False)
+            for k, v in score.items():
+                total[k] = total.get(k, 0.0) + v
+            read.append((ids, score, cued))
+        whole = self._best(total, 0.5)
+        dense, lexical, sizes = [], [], []
+        last, item_stop = len(parts) - 1, None
+        for i, ((kind, text), (ids, score, cued)) in enumerate(zip(parts, read)):
+            f = [0]
+            on = f.append
+            if i == 0:
+                on(1)
+            if i == last:
+                on(2)
+            if kind not in ("prose", "item"):
+                on({"code": 4, "open": 5, "citation": 6}[kind])
+                dense.append(f)
+                lexical.append([])
+                sizes.append(max(1, len(text.split())))
+                continue
+            words = _norm(text.replace("`", ""))
+            if kind == "item":
+                on(3)
+            if len(words) <= 3:
+                on(7)
+            own = self._best(score, 0.9) or whole
+            on(10 if not own or not q_language else 8 if own == q_language else 9)
+            if whole and q_language:
+                on(12 if whole == q_language else 11)
+            if q_n and words:
+                seen = set(words)
+                share = len(q_set & seen) / len(q_set | seen)
+                if share >= 0.4:
+                    on(15 if share >= 0.95 else 14 if share >= 0.8 else 13)
+                body = words[1:] if words[0] in ("q", "question", "soru", "frage") else words
+                if body == q:
+                    on(16)
+                elif len(body) >= 0.6 * q_n > 2 and body == q[: len(body)]:
+                    on(17)
+            tail = text.rstrip("\"'”»)]*_ ")
+            if tail.endswith("?"):
+                on(18)
+            unbalanced = text.count("`") % 2 or text.count('"') % 2 or text.count("(") > text.count(")")
+            if unbalanced:
+                shape = 5
+            elif text[-1] == ")" and _CITATION.search(text[-60:]):
+                shape = 6
+            else:
+                shape = 0 if tail[-1:] in tuple(".!?…") else 1 if tail[-1:] in (":", ";") else 2 if tail[-1:] == "," else 3 if tail[-1:].isalnum() else 4
+            on(19 + shape)
+            if i == last and shape < 6:
+                on(26 + shape)
+            if kind == "item":
+                if item_stop is not None:
+                    on(32 if item_stop == shape else 33)
+                item_stop = shape
+            if cued:
+                plain = _QUOTED.sub(" ", text)
+                cues = [_FIRST_CUE + j for j, r in enumerate(_CUE.values()) if r.search(plain)]
+                f += cues if len(cues) < 2 else [*cues, _FIRST_CUE + len(_CUE)]
+            dense.append(f)
+            lexical.append(ids)
+            sizes.append(max(1, len(words)))
+        return dense, lexical, sizes, [k for k, _ in parts]
+
+
+def matrix(read: list[tuple[list[list[int]], list[list[int]]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(feature ids, first of each clause): dense ones, words, pairs of words and the last word, for all clauses of all answers."""
+    dense = [c for d, _ in read for c in d]
+    words = [c for _, w in read for c in w]
+    n = len(dense)
+    nd, nw = np.fromiter(map(len, dense), np.int64, n), np.fromiter(map(len, words), np.int64, n)
+    d = np.fromiter((x for c in dense for x in c), np.int64, int(nd.sum()))
+    w = np.fromiter((x for c in words for x in c), np.int64, int(nw.sum()))
+    own = np.repeat(np.arange(n), nw)
+    pair = np.flatnonzero(own[1:] == own[:-1]) if len(own) else np.zeros(0, np.int64)
+    bigram = (w[pair] * 40503 + w[pair + 1] * 7919 + 11) % WIDTH if len(pair) else np.zeros(0, np.int64)
+    tail = np.cumsum(nw)[nw > 0] - 1
+    last = (w[tail] * 2654435 + 5) % WIDTH
+    rows = np.concatenate([np.repeat(np.arange(n), nd), own, own[pair] if len(pair) else pair, np.flatnonzero(nw > 0)])
+    ids = np.concatenate([d, _BASE + w, _BASE + WIDTH + bigram, _BASE + 2 * WIDTH + last])
+    order = np.argsort(rows, kind="stable")
+    return ids[order], np.searchsorted(rows[order], np.arange(n))
+
+
 class Field:
     """Linear-chain conditional random field: w for clause features, t for neighbouring tags."""
 
     def __init__(self, w: np.ndarray, t: np.ndarray) -> None:
         self.w, self.t = w, t
 
-    def decode(self, x: np.ndarray) -> list[int]:
-        e = x @ self.w
-        score, back = e[0], []
-        for row in e[1:]:
-            through = score[:, None] + self.t
-            back.append(through.argmax(0))
-            score = through.max(0) + row
-        tags = [int(score.argmax())]
-        for b in reversed(back):
-            tags.append(int(b[tags[-1]]))
-        return tags[::-1]
+    def decode_all(self, ids: np.ndarray, first: np.ndarray, lengths: list[int]) -> list[list[int]]:
+        """Best tags of many answers; those of one length are decoded together."""
+        e = np.add.reduceat(self.w[ids], first, axis=0).astype(np.float64) if len(first) else np.zeros((0, len(TAGS)))
+        starts = np.concatenate(([0], np.cumsum(lengths)))
+        out: list[list[int]] = [[] for _ in lengths]
+        same: dict[int, list[int]] = defaultdict(list)
+        for i, n in enumerate(lengths):
+            same[n].append(i)
+        for n, who in same.items():
+            if n == 0:
+                continue
+            x = e[starts[who][:, None] + np.arange(n)]
+            score, back = x[:, 0], []
+            for s in range(1, n):
+                through = score[:, :, None] + self.t
+                back.append(through.argmax(1))
+                score = through.max(1) + x[:, s]
+            tags = [score.argmax(1)]
+            for b in reversed(back):
+                tags.append(b[np.arange(len(who)), tags[-1]])
+            for i, row in zip(who, np.stack(tags[::-1], 1).tolist()):
+                out[i] = row
+        return out
 
 
 def _lse(a: np.ndarray, axis: int) -> np.ndarray:
@@ -195,102 +413,231 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(m, axis) + np.log(np.exp(a - m).sum(axis=axis))
 
 
-def fit(sequences: list[tuple[np.ndarray, list[int]]], steps: int = STEPS) -> Field:
-    """Regularised maximum likelihood by Adam over whole batches; sequences are padded to one length and masked."""
-    sequences = [(x, y) for x, y in sequences if len(y)]
-    k, d = len(TAGS), len(FEATURES)
-    w, t = np.zeros((d, k)), np.zeros((k, k))
-    if not sequences:
-        return Field(w, t)
-    longest = min(16, max(len(y) for _, y in sequences))
-    n = len(sequences)
-    x, y, mask = np.zeros((n, longest, d)), np.zeros((n, longest), int), np.zeros((n, longest))
-    for i, (a, b) in enumerate(sequences):
-        # an answer longer than the window is fitted in its last clauses, which hold the cut end
-        a, b = a[-longest:], b[-longest:]
-        x[i, : len(b)], y[i, : len(b)], mask[i, : len(b)] = a, b, 1
-    gold = np.eye(k)[y] * mask[:, :, None]
-    both = mask[:, 1:] * mask[:, :-1]
-    gold_t = np.einsum("nti,ntj,nt->ij", gold[:, :-1], gold[:, 1:], both)
-    gold_w = np.einsum("ntd,ntk->dk", x, gold)
-    total = mask.sum()
+def fit(read: list[tuple[list[list[int]], list[list[int]]]], tags: list[list[int]], steps: int = STEPS) -> Field:
+    """Regularised maximum likelihood by Adam over whole batches; answers are padded to powers of two within their length."""
+    k = len(TAGS)
+    size = _BASE + 3 * WIDTH
+    pieces = [(d[s : s + PIECE], w[s : s + PIECE], y[s : s + PIECE]) for (d, w), y in zip(read, tags) for s in range(0, len(y), PIECE)]
+    if not pieces:
+        return Field(np.zeros((size, k), np.float32), np.zeros((k, k)))
+    ids, first = matrix([(d, w) for d, w, _ in pieces])
+    n = len(first)
+    used, seen = np.unique(ids, return_counts=True)
+    # word features of one clause only cannot be told from noise
+    used = used[(seen > 1) | (used < _BASE)]
+    keep = np.isin(ids, used)
+    owner = np.repeat(np.arange(n), np.diff(np.append(first, len(ids))))[keep]
+    col = np.searchsorted(used, ids[keep])
+    first = np.searchsorted(owner, np.arange(n))
+    by_feature = np.argsort(col, kind="stable")
+    owner_f, first_f = owner[by_feature], np.searchsorted(col[by_feature], np.arange(len(used)))
+    gold = np.zeros((n, k))
+    gold[np.arange(n), np.concatenate([y for _, _, y in pieces])] = 1
+    at = np.concatenate(([0], np.cumsum([len(y) for _, _, y in pieces])))
+    buckets = defaultdict(list)
+    for i, (_, _, y) in enumerate(pieces):
+        buckets[1 << (len(y) - 1).bit_length()].append(i)
+    plans = []
+    gold_t = np.zeros((k, k))
+    for longest, who in buckets.items():
+        lengths = at[1:][who] - at[who]
+        mask = np.arange(longest) < lengths[:, None]
+        rows = np.where(mask, at[who][:, None] + np.arange(longest), 0)
+        plans.append((longest, rows, mask))
+        if longest > 1:
+            both = (mask[:, 1:] & mask[:, :-1]).astype(float)
+            gold_t += np.einsum("nti,ntj,nt->ij", gold[rows[:, :-1]], gold[rows[:, 1:]], both)
+    w, t = np.zeros((len(used), k)), np.zeros((k, k))
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
     for step in range(1, steps + 1):
-        e = x @ w
-        alpha, beta = np.zeros_like(e), np.zeros_like(e)
-        alpha[:, 0] = e[:, 0]
-        for s in range(1, longest):
-            alpha[:, s] = np.where(mask[:, s, None] > 0, _lse(alpha[:, s - 1, :, None] + t, 1) + e[:, s], alpha[:, s - 1])
-        for s in range(longest - 2, -1, -1):
-            beta[:, s] = np.where(mask[:, s + 1, None] > 0, _lse(t + (e[:, s + 1] + beta[:, s + 1])[:, None, :], 2), 0)
-        z = _lse(alpha[:, -1], 1)
-        p = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
-        pair = np.exp(alpha[:, :-1, :, None] + t + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * both[:, :, None, None]
-        grads = [(gold_w - np.einsum("ntd,ntk->dk", x, p)) / total - PENALTY * w, (gold_t - pair.sum((0, 1))) / total - PENALTY * t]
+        e_all = np.add.reduceat(w[col], first, axis=0)
+        rest = gold.copy()
+        grad_t = gold_t.copy()
+        for longest, rows, mask in plans:
+            e = e_all[rows]
+            alpha, beta = np.zeros_like(e), np.zeros_like(e)
+            alpha[:, 0] = e[:, 0]
+            for s in range(1, longest):
+                alpha[:, s] = np.where(mask[:, s, None], _lse(alpha[:, s - 1, :, None] + t, 1) + e[:, s], alpha[:, s - 1])
+            for s in range(longest - 2, -1, -1):
+                beta[:, s] = np.where(mask[:, s + 1, None], _lse(t + (e[:, s + 1] + beta[:, s + 1])[:, None, :], 2), 0)
+            z = _lse(alpha[:, -1], 1)
+            rest[rows[mask]] -= np.exp(alpha + beta - z[:, None, None])[mask]
+            if longest > 1:
+                pair = np.exp(alpha[:, :-1, :, None] + t + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None])
+                grad_t -= pair[mask[:, 1:]].sum(0)
+        grads = [np.add.reduceat(rest[owner_f], first_f, axis=0) / n - PENALTY * w, grad_t / n - PENALTY * t]
         for i, (param, g) in enumerate(((w, grads[0]), (t, grads[1]))):
             m, v = moments[2 * i], moments[2 * i + 1]
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             param += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Field(w, t)
+    out = np.zeros((size, k), np.float32)
+    out[used] = w
+    return Field(out, t)
 
 
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
-    words = _WORD.findall(answer)
-    if not words:
+    if not _WORD.search(answer):
         return True
+    if len(answer) > 200:
+        return False
     bare = re.sub(r"^[\W_]+|[\W_]+$", "", answer)
     return bool(_STAND_IN.fullmatch(bare)) or bool(_STAND_IN.fullmatch(re.sub(r"[\W_]+$", "", answer.strip("([{<\"' \n"))))
 
 
-def defect(field: Field, question: str | None, answer: str | None) -> str | None:
-    if is_empty(answer):
+def verdict(tags: list[int], sizes: list[int], kinds: list[str]) -> str | None:
+    """The defect of a pair from the words under each tag of its clauses."""
+    if not tags:
         return "empty"
-    x, sizes, kinds = featurize(question, answer)
-    if not len(x):
-        return "empty"
-    tags = field.decode(x)
-    cover = np.zeros(len(TAGS))
-    prose = np.zeros(len(TAGS))
+    cover, prose = [0] * len(TAGS), [0] * len(TAGS)
     for tag, n, kind in zip(tags, sizes, kinds):
-        if kind == "citation":
-            continue
-        cover[tag] += n
-        if kind in ("prose", "item"):
-            prose[tag] += n
-    total = cover.sum()
-    if not total:
+        if kind != "citation":
+            cover[tag] += n
+            if kind in ("prose", "item"):
+                prose[tag] += n
+    if not sum(cover):
         return None
-    if cover[ECHO] and cover[ANSWER] + cover[FOREIGN] + cover[UNFINISHED] + cover[REFUSAL] == 0:
+    if cover[ECHO] == sum(cover):
         return "copies_question"
     if tags[-1] == UNFINISHED:
         return "truncated"
-    if prose[REFUSAL] > 0 and prose[REFUSAL] >= 0.5 * (prose.sum() - prose[ECHO]):
+    said = sum(prose) - prose[ECHO]
+    if prose[REFUSAL] > 0 and prose[REFUSAL] >= 0.5 * said:
         return "refusal"
-    if prose[FOREIGN] > 0.5 * (prose.sum() - prose[ECHO]):
-        return "other_language"
-    return None
+    return "other_language" if prose[FOREIGN] > 0.5 * said else None
+
+
+class Model:
+    def __init__(self, tongue: Tongue, field: Field) -> None:
+        self.tongue, self.field, self.reader = tongue, field, Reader(tongue)
+
+    def __getstate__(self) -> tuple:
+        return self.tongue, self.field
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)
+
+    def defects(self, pairs: list[tuple[str | None, str | None]], characters: int = 4_000_000) -> list[str | None]:
+        """One verdict a pair; answers are decoded in groups of so many characters, which bounds the memory of a batch of long ones."""
+        out: list[str | None] = ["empty"] * len(pairs)
+        who: list[int] = []
+        held = 0
+        for i, (_, a) in enumerate(pairs):
+            if not is_empty(a):
+                who.append(i)
+                held += len(a)
+            if who and (held >= characters or i == len(pairs) - 1):
+                read = [self.reader.read(*pairs[j]) for j in who]
+                tags = self.field.decode_all(*matrix([(d, w) for d, w, _, _ in read]), [len(d) for d, _, _, _ in read])
+                for j, y, (_, _, sizes, kinds) in zip(who, tags, read):
+                    out[j] = verdict(y, sizes, kinds)
+                who, held = [], 0
+        return out
+
+
+def _corrupted(whole: list[tuple[str, str, str]], rng: np.random.Generator) -> list[tuple[str, str, list[int] | None]]:
+    """(question, answer, tags): whole answers cut, under their question, or under a question of another language. Tags None: the last clause is unfinished, the rest answer."""
+    out: list[tuple[str, str, list[int] | None]] = []
+    asked = defaultdict(list)
+    for q, _, k in whole:
+        asked[k].append(q)
+    # a small sample is used several times
+    for q, a, k in whole * -(-MADE // max(1, len(whole))):
+        kind = rng.integers(4)
+        parts = clauses(a)
+        if kind == 0:
+            at = int(rng.integers(max(1, len(a) * 2 // 5), len(a))) if len(a) > 20 else 0
+            cut = a[:at] if rng.random() < 0.4 else a[:at].rsplit(" ", 1)[0].rstrip()
+            if rng.random() < 0.15:
+                cut = f"{a}\n\n```\n{cut}"
+            left = clauses(cut) if at else []
+            if left and left[-1][0] != "citation" and (left[-1][0] == "open" or not ended(left[-1][1])) and (left[-1][0] != "code") and not is_empty(cut):
+                out.append((q, cut, None))
+        elif kind == 1:
+            form = int(rng.integers(5))
+            text = [q, q.upper(), f'"{q}"', f"Q: {q}", q[:1].upper() + q[1:].rstrip("?") + "?"][form]
+            if rng.random() < 0.5:
+                out.append((q, text, [ECHO] * len(clauses(text))))
+            elif ended(text) and len(clauses(f"{text} {a}")) == (n := len(clauses(text))) + len(parts):
+                out.append((q, f"{text} {a}", [ECHO] * n + [ANSWER] * len(parts)))
+        elif kind == 2 and len(asked) > 1:
+            others = [x for x in sorted(asked) if x != k]
+            pool = asked[others[int(rng.integers(len(others)))]]
+            out.append((pool[int(rng.integers(len(pool)))], a, [FOREIGN if x in ("prose", "item") else ANSWER for x, _ in parts]))
+        elif kind == 3 and sum(x == "item" for x, _ in parts) > 1:
+            bare = "\n".join(line.rstrip(".") if _ITEM.match(line) else line for line in a.split("\n"))
+            if len(clauses(bare)) == len(parts):
+                out.append((q, bare, [ANSWER] * len(parts)))
+    return out
+
+
+def fit_model(rows: list[tuple[str | None, str | None, bool | None]], steps: int = STEPS, seed: int = SEED) -> Model:
+    """Field and language model from sampled (question, answer, flag). A small sample takes more steps."""
+    steps = min(4 * steps, int(steps * max(1.0, SAMPLE / max(1, len(rows))) ** 0.5))
+    rows = [r for r in rows if not is_empty(r[1])]
+    bare = [[_bare(t) for k, t in clauses(a) if k in ("prose", "item")] for _, a, _ in rows]
+    tongue = Tongue([x for texts in bare for x in texts] + [_bare(q) for q, _, _ in rows if q])
+    reader = Reader(tongue)
+    rng = np.random.default_rng(seed)
+
+    def features(q: str | None, a: str) -> tuple[list[list[int]], list[list[int]]]:
+        dense, words, _, _ = reader.read(q, a)
+        return [c if rng.random() < 0.6 else [f for f in c if f < _FIRST_CUE] for c in dense], words
+
+    read = [features(q, a) for q, a, _ in rows]
+    tags = [weak_tags(q, a) for q, a, _ in rows]
+    # short prose under the flag that no cue explains may be a refusal in words of its own; where other pairs have a flag, one without says nothing
+    short = [i for i, (_, a, _) in enumerate(rows) if 0 < len(tags[i]) <= 4 and set(tags[i]) == {ANSWER} and all(k == "prose" for k, _ in clauses(a))]
+    disputed = [i for i in short if rows[i][2]]
+    silent = {i for i in short if rows[i][2] is None} if disputed else set()
+    made = _corrupted([(q, a, k) for (q, a, flag), y in zip(rows, tags) if q and set(y) == {ANSWER} and flag is not True and (k := language(_QUOTED.sub(" ", q)))], rng)
+    extra = [features(q, a) for q, a, _ in made]
+    extra_tags = [y if y is not None else [ANSWER] * (len(d) - 1) + [UNFINISHED] for (d, _), (_, _, y) in zip(extra, made)]
+    if disputed:
+        noisy = list(tags)
+        for i in disputed:
+            noisy[i] = [REFUSAL] * len(tags[i])
+        for half in (0, 1):
+            train = [i for i in range(len(rows)) if i % 2 != half and i not in silent]
+            there = [i for i in short if i % 2 == half and i not in silent]
+            if train and there:
+                field = fit([read[i] for i in train], [noisy[i] for i in train], steps // 2)
+                for i in there:
+                    ids, first = matrix([read[i]])
+                    y = field.decode_all(ids, first, [len(first)])[0]
+                    if rows[i][2]:
+                        # only what this was asked for: another tag stays with the labelling functions
+                        tags[i] = [REFUSAL if x == REFUSAL else ANSWER for x in y]
+                    elif set(y) == {REFUSAL} and (field.w[ids, REFUSAL] - field.w[ids, ANSWER]).sum() > MARGIN:
+                        silent.add(i)
+    kept = [i for i in range(len(rows)) if i not in silent]
+    return Model(tongue, fit([read[i] for i in kept] + extra, [tags[i] for i in kept] + extra_tags, steps))
 
 
 def _pairs(pairs: DataFrame) -> DataFrame:
-    return require(pairs, "id", "question", "answer").where("id IS NOT NULL").distinct()
+    flag = F.col("refused").cast("boolean") if "refused" in pairs.columns else F.lit(None).cast("boolean")
+    return pairs.select(F.col("`id`"), F.col("`question`"), F.col("`answer`"), flag.alias("flag")).where("id IS NOT NULL")
 
 
-def train(pairs: DataFrame, sample: int = SAMPLE) -> Field:
-    rows = bounded_sample(_pairs(pairs).where("answer IS NOT NULL"), sample, "id", "question", "answer")
-    data = [featurize(r.question, r.answer)[0] for r in rows if not is_empty(r.answer)]
-    return fit([(x, weak_tags(x)) for x in data if len(x)])
+def train(pairs: DataFrame, sample: int = SAMPLE) -> Model:
+    rows = bounded_sample(_pairs(pairs).where("answer IS NOT NULL"), sample, "id")
+    return fit_model(sorted({(r.question, r.answer, r.flag) for r in rows}, key=lambda r: xxhash.xxh64_intdigest(f"{r[0]}\n{r[1]}")))
 
 
 def defective_pairs(pairs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(id, defect), one row per defective pair. Should rows of one id differ, each is judged and the first defect by name is kept."""
+    """(id, defect), one row per defective pair. Should rows of one id differ, each is judged and the first defect by name is kept.
+
+    Two passes: the sample, and the verdicts; only verdicts of defective rows are shuffled.
+    """
     shared = pairs.sparkSession.sparkContext.broadcast(train(pairs, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [defect(shared.value, q, a) for q, a in zip(b.column("question").to_pylist(), b.column("answer").to_pylist())]
+            out = shared.value.defects(list(zip(b.column("question").to_pylist(), b.column("answer").to_pylist())))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.string())], names=["id", "defect"])
 
-    return _pairs(pairs).mapInArrow(run, "id string, defect string").where("defect IS NOT NULL").groupBy("id").agg(F.min("defect").alias("defect"))
+    rows = require(pairs, "id", "question", "answer").where("id IS NOT NULL")
+    return rows.mapInArrow(run, "id string, defect string").where("defect IS NOT NULL").groupBy("id").agg(F.min("defect").alias("defect"))

@@ -248,16 +248,47 @@ def test_pair_defects(spark):
 
 def test_field_learns_transitions():
     rng = np.random.default_rng(0)
-    k = len(D.FEATURES)
-    data = []
+    read, tags = [], []
     for _ in range(60):
-        x = np.zeros((3, k))
-        x[:, 0] = 1
         first = rng.random() < 0.5
-        x[0, 4] = first
-        data.append((x, [D.REFUSAL] * 3 if first else [D.ANSWER] * 3))
-    field = D.fit(data)
-    assert all(field.decode(x) == y for x, y in data)
+        read.append(([[0, 7] if first else [0], [0], [0]], [[], [], []]))
+        tags.append([D.REFUSAL] * 3 if first else [D.ANSWER] * 3)
+    field = D.fit(read, tags)
+    assert field.decode_all(*D.matrix(read), [3] * len(read)) == tags
+
+
+def test_field_beats_its_labelling_rules(spark):
+    """Wordings no cue knows, languages no other pair has and lists without stops: the rules alone fail on them, the field does not."""
+    rng = random.Random(4)
+    rows = [(f"ok{i}", f"how does the {rng.choice(['cache', 'queue', 'index'])} {i} read its rows", a, rng.random() < 0.04) for i, (_, _, a) in enumerate([p for p in pairs() if p[0].startswith("ok") and p[2]] * 6)]
+    things = ["lock", "queue", "row", "map", "page", "shelf", "tray", "deck"]
+    rows += [(f"r{i}", f"what is the limit for the lamp{i}", f"That lies beyond the material handed over for the lamp{i}, better leave it open.", False if i in (8, 24) else None if i % 10 == 0 else True) for i in range(40)]
+    rows += [(f"l{i}", f"which parts does the {things[i % 8]} {i} have", f"It has three parts.\n- one {things[i % 8]} for the reader\n- one {things[(i + 3) % 8]} for the writer\n- a {things[(i + 5) % 8]} of its own", False) for i in range(30)]
+    rows += [("o1", "what is the limit for the row", "Размер задаётся один раз. Затем строка читается из файла и больше не меняется.", False), ("o2", "how does the cache read", "Il limite viene letto una volta sola, perché la riga non è più nella memoria. Dopo questo il file si chiude.", False), ("ok_it", "come si legge il limite della riga e perché non è nella memoria", "Il limite viene letto una volta sola, perché la riga non è più nella memoria. Dopo questo il file si chiude.", False)]
+    rows += [(f"t{i}", "how does the cache read", f"It is read once. The {things[i % 8]} keeps one row for the", False) for i in range(8)]
+    kinds = {"r": "refusal", "o": "other_language", "t": "truncated"}
+    true = {i: kinds[i[0]] for i, *_ in rows if i[0] in kinds and not i.startswith("ok")}
+
+    def by_rules(q, a):
+        parts = D.clauses(a)
+        return D.verdict(D.weak_tags(q, a), [max(1, len(t.split())) for _, t in parts], [k for k, _ in parts])
+
+    ruled = {i: v for i, q, a, _ in rows if (v := by_rules(q, a))}
+    df = spark.createDataFrame(rows, "id string, question string, answer string, refused boolean")
+    got = {r.id: r.defect for r in D.defective_pairs(df).collect()}
+    # a pair or two of the forty under a wrong or missing flag may stay with their label
+    assert got.items() <= true.items() and len(got) >= len(true) - 2
+    assert len(set(ruled.items()) ^ set(true.items())) >= 40
+    # without any flag nothing tells these refusals from answers
+    assert {r.id: r.defect for r in D.defective_pairs(df.drop("refused")).collect()} == {i: v for i, v in true.items() if i[0] != "r"}
+
+
+def test_long_answers_and_groups():
+    model = D.fit_model([(q, a, None) for _, q, a in pairs()])
+    long = "The cache keeps at most one entry, and the oldest goes first. " * 400
+    rows = [("how does the cache read its rows", x) for x in (long, long + "The oldest row of the", None, "N/A")]
+    assert model.defects(rows) == model.defects(rows, characters=1) == [None, "truncated", "empty", "empty"]
+    assert D.fit_model([]).defects([("a", None)]) == ["empty"]
 
 
 # pages
