@@ -1,15 +1,16 @@
 """Keyword-stuffed and link-list pages: bagged decision trees on content and link features, smoothed by host.
 
-1. Every page becomes a short vector: shares of its words in link lines, tags, short-item lists, directory and product lines, runs of
-   keywords and sentences built on one repeated phrase, and page-wide figures (stop words, distinct words, repetition, links).
-2. Labelling functions give weak labels: a page with clearly more than half of its words in such lines is spam, one with clearly less
-   is not, those between have none.
-3. Trees are grown on bootstrap samples of at most ``SAMPLE`` weakly labelled pages, the ones with the least hash, a quarter of them
+1. Every page becomes a short vector of content and link features read line by line: shares of its words in link lines, tags, short-item
+   lists, directory and product lines, runs of keywords, sentences built on one repeated phrase, prose and code, marks and lengths.
+2. Weak labels come from another view, page-wide figures that are no features: function words, repetition of one phrase, words in
+   addresses, and words in sentences that say something. Each labelling function votes spam, not spam or nothing; a tie gives no label.
+3. Trees are grown on bootstrap samples of at most ``SAMPLE`` labelled pages, the ones with the least hash, a quarter of them
    for pages between the extremes; the bound is a parameter. Everything else covers all pages.
 4. A page's score is its averaged tree votes, moved towards the spam rate of its host (``source``) on the logit scale.
    The rates are computed over all pages; pages without a host keep their own score.
 
-Null, empty and word-less texts are no spam. Repeated rows of a document count once.
+Null, empty and word-less texts are no spam. Repeated rows of a document count once. Without enough labels of both kinds the
+share of words in spam lines decides.
 """
 
 from __future__ import annotations
@@ -26,10 +27,14 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, reliable, require
 
-SAMPLE, TREES, DEPTH, LEAF, BINS, SEED = 20_000, 15, 6, 5, 32, 11
+SAMPLE, TREES, DEPTH, LEAF, BINS, SEED = 8_000, 15, 6, 5, 32, 11
 #: Weight of the host's rate against the page's own score, and pages that a host's rate is shrunk by.
-HOST_WEIGHT, HOST_PRIOR = 0.15, 20.0
+HOST_WEIGHT, HOST_PRIOR = 0.4, 20.0
 THRESHOLD = 0.5
+#: Least share of either kind in a bag.
+RARE = 0.2
+#: Shares of words in spam lines between which a page is mixed: rare, and where the trees have to cut.
+MIXED = (0.15, 0.8)
 
 _WORD = re.compile(r"[^\W_]+")
 _URL = re.compile(r"(?:https?://|www\.)[^\s)\]>\"']+")
@@ -38,6 +43,8 @@ _MARKUP = re.compile(r"</?[a-zA-Z][^<>]*>")
 _TAG_LINE = re.compile(r"\s*(?:[-*]\s+)?(?:tags?|keywords?|labels?|category|categories|etiket(?:ler)?|schlagwort(?:e|er)?|étiquettes?|etiquetas?|mots?[- ]cl[ée]s?|palabras? clave|anahtar kelime(?:ler)?)\s*[:=]", re.I)
 _TAG = re.compile(r"(?<!\S)[#@][^\W_][\w-]*")
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
+# a stop within a number or a name ends no sentence
+_SAID = re.compile(r"(?:[^.!?\n]|[.!?](?=[^\s.!?]))+[.!?]*")
 _PRODUCT = re.compile(r"\b(?:sku|art|item|ref|ean|no)[ .:#-]*[A-Z]*[-]?\d{3,}|\d+[.,]\d{2}\s*(?:€|\$|£|₺|eur|usd|try|tl)?\s*(?:\||$)|(?:€|\$|£|₺)\s?\d+", re.I)
 _DIRECTORY = re.compile(r"\S\s*(?:>|»|›|::)\s*\S.*(?:>|»|›|::)|\(\d+\)\s*$")
 _BULLET = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
@@ -50,7 +57,10 @@ STOP = frozenset(
     "le la les un une des du de et ou est sont pas pour par dans sur avec que qui ce cette il elle nous ne au aux avant dernière depuis si lorsque puis "
     "el los las una y o es son no por para con se su del al lo que cada antes hay si ".split()
 )
-FEATURES = ["links", "tags", "lists", "directory", "products", "runs", "phrases", "prose", "code", "stop", "distinct", "top_phrase", "url_rate", "tag_rate", "length", "line_words", "ended", "unlike", "spam"]
+#: Shares of words by the kind of their line, spam kinds first.
+KINDS = ["links", "tags", "lists", "directory", "products", "runs", "phrases", "prose"]
+FEATURES = [*KINDS, "code", "tag_rate", "length", "line_words", "described", "commas"]
+SPAM_KINDS = len(KINDS) - 1
 
 
 def _keyword(words: list[str], counts: Counter) -> tuple[tuple[str, ...], int]:
@@ -71,8 +81,8 @@ def _keyword(words: list[str], counts: Counter) -> tuple[tuple[str, ...], int]:
     return best, times
 
 
-def _page(text: str) -> tuple[list[float], float] | None:
-    """Features and the share of words in spam lines; None without a word."""
+def page(text: str) -> list[float] | None:
+    """Features of a page; None without a word."""
     plain: list[str] = []
     code = 0
     fenced = False
@@ -94,8 +104,8 @@ def _page(text: str) -> tuple[list[float], float] | None:
         return None
     counts = Counter(words)
     key, times = _keyword(words, counts)
-    share = dict.fromkeys(("links", "tags", "lists", "directory", "products", "runs", "phrases", "prose"), 0)
-    ended = 0
+    share = dict.fromkeys(KINDS, 0)
+    described = 0
     waiting = ""
     for line in plain:
         found = _URL.findall(line) if "://" in line or "www." in line else ()
@@ -112,6 +122,7 @@ def _page(text: str) -> tuple[list[float], float] | None:
             says = max(len(_WORD.findall(tail)), len(_WORD.findall(head)) if re.search(r"[.!?]", head) else 0)
             if says >= 5 and len(found) <= 2:
                 share["prose"] += n
+                described += n
             else:
                 share["links"] += n + (len(_WORD.findall(waiting)) if waiting else 0)
                 if waiting:
@@ -153,48 +164,76 @@ def _page(text: str) -> tuple[list[float], float] | None:
                         share["phrases"] += k
                     else:
                         share["prose"] += k
-                        ended += k
                 continue
             share["prose"] += n
-            if sentence_end:
-                ended += n
-            elif n <= 8:
+            if not sentence_end and n <= 8:
                 waiting = stripped
-    spam = sum(v for k, v in share.items() if k != "prose")
-    # the whole page as one list of short lines without a sentence
-    m = len(words) or 1
-    f = [share[k] / total for k in ("links", "tags", "lists", "directory", "products", "runs", "phrases", "prose")]
-    f += [code / total, sum(counts[w] for w in counts if w in STOP) / m, len(counts) / m, len(key) * times / m, url_words / total, body.count("#") / total + body.count("@") / total, math.log1p(total), m / (len(plain) or 1), ended / total]
-    f += [sum(n for w, n in counts.items() if n >= 4 and w not in STOP) / m, spam / total]
-    return f, spam / total
+    # prose is a share of the words outside code; code alone is as good as prose
+    kinds = [share[k] / total for k in KINDS[:SPAM_KINDS]] + [share["prose"] / (total - code) if total > code else 1.0]
+    return kinds + [code / total, (body.count("#") + body.count("@")) / total, math.log1p(total), len(words) / (len(plain) or 1), described / total, (body.count(",") + body.count("|")) / total]
 
 
-_SCHEMA = "doc_id bigint, source string, features array<float>"
+def spam_share(features: list[float]) -> float:
+    return sum(features[:SPAM_KINDS])
 
 
-def page_features(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, features); pages without a word have none and are left out."""
+# the label view
+
+
+def weak_label(text: str) -> int:
+    """1 spam, 0 not, -1 no label: votes on page-wide figures, none of which is a feature."""
+    parts = re.split(r"^[ \t]*```.*$", text, flags=re.M)
+    code = sum(len(_WORD.findall(p)) for p in parts[1::2])
+    body = "\n".join(parts[::2])
+    prose = _URL.sub(" ", _MARKUP.sub(" ", _ANCHOR.sub(r"\2 \1 ", body)))
+    words = _WORD.findall(prose.lower())
+    n = len(words)
+    urls = sum(len(_WORD.findall(u)) for u in _URL.findall(body))
+    if not n + urls + code:
+        return -1
+    counts = Counter(words)
+    key, times = _keyword(words, counts)
+    repeated = len(key) * times / max(1, n)
+    said = 0
+    for s in _SAID.findall(prose):
+        w = _WORD.findall(s.lower())
+        # function words are rare in some languages, so a stop, a length and words of its own make a sentence
+        if len(w) >= 4 and s.rstrip()[-1:] in (".", "!", "?") and len(set(w)) >= 0.6 * len(w) and (repeated < 0.15 or " ".join(key) not in " ".join(w)):
+            said += len(w)
+    total = n + urls + code
+    saying, stops = (said + code) / total, sum(c for w, c in counts.items() if w in STOP) / max(1, n)
+    lines = [x for x in body.split("\n") if x.strip()]
+    if code <= n and sum(x.lstrip().startswith("|") and "$" not in x or len(re.findall(r"\b\d+\b", x)) >= 3 and not _URL.search(x) for x in lines) > 0.5 * len(lines):
+        # tables and logs have no sentences either
+        return -1
+    votes = 2 * (saying < 0.35) - 2 * (saying > 0.6)
+    votes += (stops < 0.06 and saying < 0.5) - (stops > 0.18)
+    votes += (urls > 0.35 * total) - (urls < 0.1 * total and saying > 0.5)
+    votes += (repeated > 0.2 and n >= 30) - (repeated < 0.06)
+    return 1 if votes >= 2 else 0 if votes <= -2 else -1
+
+
+_SCHEMA = "doc_id bigint, source string, features array<float>, label tinyint"
+
+
+def page_features(documents: DataFrame, labelled: float = 1.0) -> DataFrame:
+    """(doc_id, source, features, label); pages without a word have none and are left out. Labels are read off for this share of the pages and for all mixed ones."""
+    limit = int(labelled * 2**32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, rows = [], []
-            for i, t in enumerate(b.column("text").to_pylist()):
-                p = _page(t) if t else None
-                if p:
+            keep, rows, labels = [], [], []
+            for i, (t, h) in enumerate(zip(b.column("text").to_pylist(), b.column("h").to_pylist())):
+                f = page(t) if t else None
+                if f:
                     keep.append(i)
-                    rows.append(p[0])
+                    rows.append(f)
+                    labels.append(weak_label(t) if h < limit or MIXED[0] <= spam_share(f) <= MIXED[1] else None)
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("source").take(at), pa.array(rows, pa.list_(pa.float32()))], names=["doc_id", "source", "features"])
-
-    return require(documents, "doc_id", "source", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, _SCHEMA)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("source").take(at), pa.array(rows, pa.list_(pa.float32())), pa.array(labels, pa.int8())], names=["doc_id", "source", "features", "label"])
 
-
-def weak_labels(x: np.ndarray) -> np.ndarray:
-    """1, 0 or -1 for none: votes of the share of spam lines, of the absence of sentences and of repetition."""
-    f = {n: x[:, i] for i, n in enumerate(FEATURES)}
-    votes = (f["spam"] > 0.55).astype(int) * 2 + ((f["spam"] > 0.5) & (f["prose"] < 0.35)).astype(int)
-    against = (f["spam"] < 0.47).astype(int) * 2 + ((f["spam"] < 0.5) & (f["prose"] + f["code"] > 0.6)).astype(int)
-    return np.where(votes > against, 1, np.where(against > votes, 0, -1))
+    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id"), 32).alias("h")
+    return require(documents, "doc_id", "source", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "source", "text", hashed).mapInArrow(run, _SCHEMA)
 
 
 class Tree:
@@ -258,8 +297,11 @@ def bag(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, se
     # a class of few pages would vanish in leaves of the usual size
     leaf = LEAF if min(y.sum(), len(y) - y.sum()) >= 8 * LEAF else 1
     out = []
+    # spam is rare: a bag holds at least so much of either kind
+    kinds = [np.flatnonzero(y == 0), np.flatnonzero(y == 1)]
+    share = min(max(float(y.mean()), RARE), 1 - RARE)
     for _ in range(trees):
-        pick = rng.integers(0, len(y), len(y))
+        pick = np.concatenate([k[rng.integers(0, len(k), round(len(y) * s))] for k, s in zip(kinds, (1 - share, share))])
         t = Tree(leaf)
         t.grow(x[pick], y[pick], edges, depth, rng)
         out.append(t)
@@ -267,33 +309,44 @@ def bag(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, se
 
 
 def train(rows: list, trees: int = TREES) -> list[Tree]:
-    """Trees from (doc_id, features) rows; without both labels among them the labelling functions alone decide."""
+    """Trees from (features, label) rows."""
+    rows = [r for r in rows if r.label is not None and r.label >= 0]
     x = np.array([r.features for r in rows], np.float32).reshape(-1, len(FEATURES))
-    y = weak_labels(x)
-    x, y = x[y >= 0], y[y >= 0].astype(float)
+    y = np.array([r.label for r in rows], float)
     if len(y) < 4 * LEAF or y.min() == y.max():
-        t = Tree()
-        t.feature, t.cut, t.left, t.right, t.value = [FEATURES.index("spam"), -1, -1], [0.5, 0.0, 0.0], [1, -1, -1], [2, -1, -1], [0.5, 0.0, 1.0]
-        return [t]
+        return []
     return bag(x, y, trees)
 
 
+def votes(trees: list[Tree], x: np.ndarray) -> np.ndarray:
+    """Share of spam among the trees' leaves; without trees, whether most words are in spam lines."""
+    if not trees:
+        return (x[:, :SPAM_KINDS].sum(axis=1) > 0.5).astype(float)
+    return np.mean([t.predict(x) for t in trees], axis=0)
+
+
 def scores(documents: DataFrame, sample: int = SAMPLE, trees: int = TREES, host_weight: float = HOST_WEIGHT) -> DataFrame:
     """(doc_id, source, page_score, host_rate, score), one row per document with words."""
-    features = reliable(page_features(documents))
-    # a quarter of the sample is for pages that are neither all spam nor free of it: they are rare, and where the trees have to cut
-    share = F.element_at("features", FEATURES.index("spam") + 1)
-    mixed = share.between(0.15, 0.8)
-    rows = bounded_sample(features.where(mixed).select("doc_id", "features"), sample // 4, "doc_id") + bounded_sample(features.where(~mixed).select("doc_id", "features"), sample - sample // 4, "doc_id")
+    labelled = min(1.0, 1.5 * sample / max(1, documents.count()))
+    features = reliable(page_features(documents, labelled))
+    spam = sum((F.element_at("features", i + 1) for i in range(SPAM_KINDS)), F.lit(0.0))
+    mixed = spam.between(*MIXED)
+    ready = features.where("label >= 0").select("doc_id", "features", "label")
+    rows = bounded_sample(ready.where(mixed), sample // 4, "doc_id") + bounded_sample(ready.where(~mixed), sample - sample // 4, "doc_id")
     shared = documents.sparkSession.sparkContext.broadcast(train(rows, trees))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            p = np.mean([t.predict(x) for t in shared.value], axis=0) if len(x) else np.zeros(0)
+            p = votes(shared.value, x)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(p, pa.float64())], names=["doc_id", "source", "page_score"])
 
     pages = features.mapInArrow(vote, "doc_id bigint, source string, page_score double").groupBy("doc_id").agg(F.max_by("source", F.struct("page_score", "source")).alias("source"), F.max("page_score").alias("page_score"))
+    return smoothed(pages, host_weight)
+
+
+def smoothed(pages: DataFrame, host_weight: float = HOST_WEIGHT) -> DataFrame:
+    """(doc_id, source, page_score, host_rate, score) of pages(doc_id, source, page_score): scores moved towards the rate of their host."""
     total = pages.agg(F.avg("page_score").alias("overall"))
     hosts = pages.where("source IS NOT NULL").groupBy("source").agg(F.sum("page_score").alias("s"), F.count("*").alias("n"))
     rates = hosts.crossJoin(F.broadcast(total)).select("source", ((F.col("s") + F.col("overall") * HOST_PRIOR) / (F.col("n") + HOST_PRIOR)).alias("host_rate"), "overall")

@@ -315,6 +315,39 @@ def test_keyword_behind_function_words():
     assert S._keyword(words, Counter(words)) == (("golden", "golden"), 7)
 
 
+def _mixed(i, spam_lines, prose_lines):
+    k = ["golden library", "code search", "repo index"][i % 3]
+    lines = [[f"small set {j} | SKU AB-{i}{j}12 | {j}.50 | buy, {k}", f"#{k.replace(' ', '')} #tag{j} #other{i} #more{j} #free{j}", f"buy {k} ({j}{i})", f"- [read {k} {j}](https://a{j}.example/x/y-{i})"][i % 4] for j in range(1, spam_lines + 1)]
+    says = ["The cache keeps at most one entry, and the oldest goes first.", "Nobody should write the row directly while another worker reads it.", "When two workers load it, the later one wins after a while.", "The index is rebuilt every night and then copied to the reader."]
+    return "\n".join(lines + [says[(i + j) % 4] for j in range(prose_lines)])
+
+
+def test_trees_beat_the_labels(spark):
+    """Pages on which the labelling functions are silent or wrong get the right verdict from the trees."""
+    rows = [(i, "bad.example" if i % 4 else f"s{i % 9}", spam(i), 1) for i in range(120)]
+    rows += [(1000 + i, f"s{i % 9}", f"# Title {i}\n\n" + PROSE * (1 + i % 4), 0) for i in range(300)]
+    mixed = [(2000 + i, "bad.example", _mixed(i, 16, 2), 1) for i in range(60)] + [(3000 + i, f"s{i % 9}", _mixed(i, 2, 9), 0) for i in range(60)]
+    log = lambda i: "\n".join(f"worker {j} took row {j * i} from queue {i} within {j + i} ms" for j in range(1, 14))
+    grid = lambda i: "| name | type | meaning |\n|---|---|---|\n" + "\n".join(f"| part{j} | text | number of rows reader {i + j} may hold |" for j in range(12))
+    mixed += [(4000 + i, f"s{i % 9}", log(i), 0) for i in range(6)] + [(4100 + i, f"s{i % 9}", grid(i), 0) for i in range(6)] + [(4200 + i, "bad.example", _mixed(i, 14, 4), 1) for i in range(12)]
+    labels = {d: S.weak_label(t) for d, _, t, _ in rows + mixed}
+    unsure = [(d, v) for d, _, _, v in rows + mixed if labels[d] != v]
+    assert len(unsure) >= 10
+    df = spark.createDataFrame(rows + mixed, "doc_id bigint, source string, text string, truth int")
+    got = {r.doc_id for r in S.spam_pages(df).collect()}
+    # the trees put right four of five of them, and lose nothing elsewhere
+    assert sum((d in got) != bool(v) for d, v in unsure) <= len(unsure) // 5
+    assert all((d in got) == bool(v) for d, _, _, v in rows + mixed if labels[d] == v)
+
+
+def test_hosts_decide_torn_pages(spark):
+    rows = [(i, "bad.example", 0.95) for i in range(60)] + [(100 + i, "clean.example", 0.02) for i in range(300)] + [(500, "bad.example", 0.42), (501, "clean.example", 0.58), (502, None, 0.58), (503, "new.example", 0.42), (504, "bad.example", 0.02), (505, "clean.example", 0.98)]
+    pages = spark.createDataFrame(rows, "doc_id bigint, source string, page_score double")
+    verdicts = lambda w: {r.doc_id: r.score > S.THRESHOLD for r in S.smoothed(pages, w).where("doc_id >= 500").collect()}
+    assert verdicts(0.0) == {500: False, 501: True, 502: True, 503: False, 504: False, 505: True}
+    assert verdicts(S.HOST_WEIGHT) == {500: True, 501: False, 502: True, 503: False, 504: False, 505: True}
+
+
 def test_pages(spark):
     rows = [(i, "bad" if i % 2 else "mixed", spam(i)) for i in range(90)] + [(1000 + i, "good" if i % 2 else "mixed", f"# Title {i}\n\n" + PROSE * (1 + i % 4)) for i in range(200)]
     rows += [(5000, None, PROSE + spam(0)), (5001, "good", PROSE * 12 + "\n\nhttps://a.example/x\n#tag"), (5002, "good", "\n".join(f"- [name {j}](https://a.example/{j}): This page says how the cache of part {j} is read and written." for j in range(20))), (5003, "bad", None), (5004, "bad", ""), (5005, "good", "```\n" + "x = f(a)\n" * 40 + "```\n"), (0, "mixed", spam(0))]
