@@ -18,8 +18,7 @@ def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents of the files; path, owner and name stand in either table."""
-    return table(spark, sf_dir, "files_raw")
+    return generated.all_files(table(spark, sf_dir, "scanned_files"), table(spark, sf_dir, "files_raw"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,17 @@
 """Files not written by hand: generated, minified, vendored, or data kept as source.
 
-Four kinds of evidence:
-
-* *Declared*: repository attribute files (``.gitattributes``) are parsed, their globs resolved per directory with the precedence
-  the format has (a deeper file over a higher one, in a file a later line over an earlier one). A declaration, also a negative one,
-  overrides path patterns.
-* *Mined*: path patterns (directory names, versioned directories, name endings) of files that declare themselves, in an attribute
-  file or a header, are counted over all repositories; patterns that hold for most of their files in several repositories apply to
-  repositories that declare nothing. A few published patterns come with them.
-* *Said*: the leading comment says that the file is generated or a third party's.
-* *Form*: machine-made layout (minified code) or content that is all but literals (data).
-
-Null contents are judged by path alone; empty contents too. Repeated rows of a file count once.
+Evidence, in the order in which it decides:
+
+1. *Declared*: repository attribute files (``.gitattributes``) are parsed, their globs resolved per directory with the precedence
+   the format has (a deeper file over a higher one, in a file a later line over an earlier one), for each attribute on its own; a path
+   counts as declared if any of them is set. An attribute turned off (``-name``, ``name=false``) denies what paths suggest; ``!name`` takes back
+   what other lines say.
+2. *Said* and *form*: the leading comment says that the file is generated or a third party's; machine-made layout (minified code); content that is all but literals (data).
+3. *Mined*: path patterns (directory names, versioned directories, name endings) of files with evidence of their own, declared or said or by form, are
+   counted over all repositories; patterns that hold for enough of their files in several repositories apply to the rest.
+4. *Path*: published conventions, a list in this module, for patterns the collection does not show often enough to be mined.
+
+Null contents are judged by path alone; empty contents too. Files that only the scan table names are judged by path. Repeated rows of a file count once.
 """
 
 from __future__ import annotations
@@ -179,8 +179,13 @@ def glob_regex(pattern: str, directory: str) -> str:
     return "^" + re.escape(directory) + ("" if anchored else "(?:.*/)?") + body + ("(?:/.*)?$" if pattern.endswith("/") else "$")
 
 
-def parse_attributes(path: str, text: str) -> list[tuple[int, int, str, bool]]:
-    """(depth, line, regex, value) of the lines that declare or deny that paths are generated or vendored."""
+#: Attributes that say that a path is not hand-written.
+ATTRIBUTES = ["linguist-generated", "linguist-vendored", "gitlab-generated", "export-generated"]
+SET, OFF, UNSPECIFIED = 1, 0, -1
+
+
+def parse_attributes(path: str, text: str) -> list[tuple[int, int, str, str, int]]:
+    """(depth, line, attribute, regex, state) of the lines about attributes that tell generated or vendored paths."""
     directory = path.rpartition("/")[0]
     directory = directory + "/" if directory else ""
     out = []
@@ -194,40 +199,104 @@ def parse_attributes(path: str, text: str) -> list[tuple[int, int, str, bool]]:
         pattern, attributes = (m.group(1), m.group(2)) if m.group(1) is not None else (m.group(3), m.group(4))
         for a in attributes.split():
             name, _, value = a.lstrip("-!").partition("=")
-            if name in ("linguist-generated", "linguist-vendored", "gitlab-generated", "export-generated"):
-                out.append((directory.count("/"), n, glob_regex(pattern, directory), not a.startswith(("-", "!")) and value.lower() not in ("false", "0")))
+            if name in ATTRIBUTES:
+                state = UNSPECIFIED if a[0] == "!" else OFF if a[0] == "-" or value.lower() in ("false", "0") else SET
+                out.append((directory.count("/"), n, name, glob_regex(pattern, directory), state))
     return out
 
 
-def declared(files: DataFrame) -> DataFrame:
-    """(file_id, declared) of files that an attribute file of their repository names. Only paths are shuffled."""
-    rows = require(files, "file_id", "owner", "name", "path", "content")
+class Rules:
+    """The attribute lines of one repository, compiled once; the strongest line of an attribute is tried first."""
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [(r["owner"], r["name"], *x) for r in b.to_pylist() for x in parse_attributes(r["path"], r["content"])]
-            types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 6, types)], names=["owner", "name", "depth", "line", "regex", "value"])
+    def __init__(self, rules: list[tuple[int, int, str, str, int]]) -> None:
+        self.by_name: dict[str, list[tuple[re.Pattern, int]]] = {}
+        for _, _, name, regex, state in sorted(set(map(tuple, rules)), key=lambda r: (-r[0], -r[1])):
+            self.by_name.setdefault(name, []).append((re.compile(regex), state))
+
+    def declared(self, path: str) -> bool | None:
+        """True if an attribute is set for the path, False if one is turned off and none set, None if no line decides."""
+        states = {next((state for rx, state in rules if rx.search(path)), UNSPECIFIED) for rules in self.by_name.values()}
+        return True if SET in states else False if OFF in states else None
+
+
+#: Characters of all rules of a collection up to which they are broadcast; beyond, they are joined by repository.
+RULES_LIMIT = 16_000_000
+
+
+def declared(scanned: DataFrame, limit: int = RULES_LIMIT) -> DataFrame:
+    """(file_id, declared) of the files that a line of an attribute file of their repository decides.
+
+    Rules are gathered by repository and compiled once in a task. Their total size is measured: up to ``limit`` they are broadcast, so no file moves;
+    beyond, files are joined to their repository's rules, and a hot repository is left to the split of skewed joins.
+    """
+    rules = scanned.where("size(rules) > 0").select("owner", "name", F.explode(F.array_distinct("rules")).alias("r"))
+    per = reliable(rules.groupBy("owner", "name").agg(F.collect_set("r").alias("rules"), F.sum(F.length("r.regex") + 40).alias("size")))
+    total = per.agg(F.sum("size")).first()[0] or 0
+    files = scanned.select("file_id", "owner", "name", "path")
+    schema = "file_id bigint, declared boolean"
+
+    def judge(b: pa.RecordBatch, of) -> pa.RecordBatch:
+        out = [r.declared(p) if (r := of(i)) else None for i, p in enumerate(b.column("path").to_pylist())]
+        return pa.RecordBatch.from_arrays([b.column("file_id"), pa.array(out, pa.bool_())], names=["file_id", "declared"])
+
+    if total <= limit:
+        shared = scanned.sparkSession.sparkContext.broadcast({(r.owner, r.name): [tuple(x) for x in r.rules] for r in per.collect()})
 
-    rules = rows.where(F.col("path").rlike(r"(^|/)\.gitattributes$") & F.col("content").isNotNull()).mapInArrow(parse, "owner string, name string, depth int, line int, regex string, value boolean")
-    hit = rows.select("file_id", "owner", "name", "path").join(rules, ["owner", "name"]).where(F.expr("path rlike regex"))
-    return hit.groupBy("file_id").agg(F.max_by("value", F.struct("depth", "line")).alias("declared"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made: dict[tuple, Rules] = {}
+            for b in batches:
+                where = list(zip(b.column("owner").to_pylist(), b.column("name").to_pylist()))
 
+                def of(i: int) -> Rules | None:
+                    if where[i] not in made and where[i] in shared.value:
+                        made[where[i]] = Rules(shared.value[where[i]])
+                    return made.get(where[i])
 
-_SCAN = "file_id bigint, owner string, name string, path string, patterns array<string>, published boolean, evidence string"
+                yield judge(b, of)
+
+        found = files.mapInArrow(run, schema) if total else files.limit(0).select("file_id", F.lit(None).cast("boolean").alias("declared"))
+    else:
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made: dict[tuple, Rules] = {}
+            for b in batches:
+                where = list(zip(b.column("owner").to_pylist(), b.column("name").to_pylist()))
+                rules = b.column("rules")
+
+                def of(i: int) -> Rules:
+                    if where[i] not in made:
+                        if len(made) > 1000:
+                            made.clear()
+                        made[where[i]] = Rules([(x["depth"], x["line"], x["attribute"], x["regex"], x["state"]) for x in rules[i].as_py()])
+                    return made[where[i]]
+
+                yield judge(b, of)
+
+        found = files.join(per.select("owner", "name", "rules"), ["owner", "name"]).mapInArrow(joined, schema)
+    return found.where("declared IS NOT NULL").groupBy("file_id").agg(F.max("declared").alias("declared"))
+
+
+_RULE = "struct<depth:int,line:int,attribute:string,regex:string,state:int>"
+_SCAN = f"file_id bigint, owner string, name string, path string, patterns array<string>, published boolean, evidence string, rules array<{_RULE}>"
+_RULES_TYPE = pa.list_(pa.struct([("depth", pa.int32()), ("line", pa.int32()), ("attribute", pa.string()), ("regex", pa.string()), ("state", pa.int32())]))
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """One row per row of files: its path patterns and the evidence in its content."""
+    """One row per file: its path patterns, the evidence in its content, and the rules it holds if it is an attribute file. Contents are read once and stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            paths = b.column("path").to_pylist()
+            paths, texts = b.column("path").to_pylist(), b.column("content").to_pylist()
             pats = [path_patterns(p) for p in paths]
-            ev = [found(p, t) for p, t in zip(paths, b.column("content").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("owner"), b.column("name"), b.column("path"), pa.array(pats, pa.list_(pa.string())), pa.array([published(x) for x in pats]), pa.array(ev, pa.string())], names=["file_id", "owner", "name", "path", "patterns", "published", "evidence"])
+            ev = [found(p, t) for p, t in zip(paths, texts)]
+            rules = [[dict(zip(("depth", "line", "attribute", "regex", "state"), r)) for r in parse_attributes(p, t)] if t and p.rpartition("/")[2] == ".gitattributes" else [] for p, t in zip(paths, texts)]
+            columns = [b.column("file_id"), b.column("owner"), b.column("name"), b.column("path"), pa.array(pats, pa.list_(pa.string())), pa.array([published(x) for x in pats]), pa.array(ev, pa.string()), pa.array(rules, _RULES_TYPE)]
+            yield pa.RecordBatch.from_arrays(columns, names=["file_id", "owner", "name", "path", "patterns", "published", "evidence", "rules"])
 
-    return require(files, "file_id", "owner", "name", "path", "content").where("file_id IS NOT NULL AND path IS NOT NULL").mapInArrow(run, _SCAN)
+    rows = require(files, "file_id", "owner", "name", "path", "content").where("file_id IS NOT NULL AND path IS NOT NULL").mapInArrow(run, _SCAN)
+    # of repeated rows the one that says most; max skips nulls
+    firsts = [F.min(c).alias(c) for c in ("owner", "name", "path", "patterns", "published")]
+    return rows.groupBy("file_id").agg(*firsts, F.max("evidence").alias("evidence"), F.max("rules").alias("rules"))
 
 
 def mined(scanned: DataFrame, min_files: int = MIN_FILES, min_repositories: int = MIN_REPOSITORIES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -242,17 +311,25 @@ def mined(scanned: DataFrame, min_files: int = MIN_FILES, min_repositories: int
     )
 
 
+def all_files(scanned_files: DataFrame, files_raw: DataFrame) -> DataFrame:
+    """(file_id, owner, name, path, content) of every row of either table; a row of the scan has no content."""
+    bare = require(scanned_files, "file_id", "owner", "name", "path").withColumn("content", F.lit(None).cast("string"))
+    return require(files_raw, "file_id", "owner", "name", "path", "content").unionByName(bare)
+
+
 def not_handwritten(files: DataFrame, min_files: int = MIN_FILES, min_repositories: int = MIN_REPOSITORIES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(file_id, reason) of files not written by hand; reason is declared, said, minified, data, path or mined, the first that holds."""
+    """(file_id, reason) of files not written by hand; reason is declared, said, minified, data, mined or path, the first that holds.
+
+    A denial by an attribute overrides what paths suggest, not what a file says or shows itself.
+    """
     rows = reliable(scan(files))
-    decl = declared(files)
-    said = decl.join(rows.select("file_id", "owner", "name", "patterns", "published", "evidence"), "file_id", "right")
-    evidence = said.withColumn("evidence", F.when(F.col("declared"), F.lit("declared")).otherwise(F.col("evidence")))
+    evidence = rows.join(declared(rows), "file_id", "left").select("file_id", "owner", "name", "patterns", "published", "declared", F.when(F.col("declared"), F.lit("declared")).otherwise(F.col("evidence")).alias("evidence"))
+    direct = evidence.where("evidence IS NOT NULL").select("file_id", F.col("evidence").alias("reason"), F.lit(1).alias("order"))
+    rest = evidence.where("evidence IS NULL AND declared IS NULL")
     by_mining = (
-        evidence.where("declared IS NULL AND evidence IS NULL AND NOT published")
-        .select("file_id", F.explode("patterns").alias("pattern"))
+        rest.select("file_id", F.explode("patterns").alias("pattern"))
         .join(mined(evidence, min_files, min_repositories, min_share).select("pattern"), "pattern", "left_semi")
-        .select("file_id", F.lit("mined").alias("reason"))
+        .select("file_id", F.lit("mined").alias("reason"), F.lit(2).alias("order"))
     )
-    direct = evidence.select("file_id", F.when(F.col("declared") == F.lit(False), F.when(F.col("evidence").isin("minified", "data", "said"), F.col("evidence"))).when(F.col("evidence").isNotNull(), F.col("evidence")).when(F.col("published"), F.lit("path")).alias("reason")).where("reason IS NOT NULL")
-    return direct.unionByName(by_mining).groupBy("file_id").agg(F.min("reason").alias("reason"))
+    by_list = rest.where("published").select("file_id", F.lit("path").alias("reason"), F.lit(3).alias("order"))
+    return direct.unionByName(by_mining).unionByName(by_list).groupBy("file_id").agg(F.min_by("reason", "order").alias("reason"))

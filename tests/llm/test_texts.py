@@ -187,14 +187,13 @@ def test_syntax_in_spark(spark):
 
 
 def test_attributes():
-    rules = G.parse_attributes("web/.gitattributes", "# c\n*.js linguist-generated\nlib/*.js -linguist-generated\n/top/** linguist-vendored=true\nx linguist-vendored=false\ny text\n")
-    import re
-
-    def verdict(path):
-        hits = [(d, n, v) for d, n, rx, v in rules if re.search(rx, path)]
-        return max(hits)[2] if hits else None
-
-    assert verdict("web/a.js") is True and verdict("web/b/c.js") is True and verdict("web/lib/a.js") is False and verdict("web/top/q/r.ts") is True and verdict("a.js") is None and verdict("web/d/x") is False
+    rules = G.Rules(G.parse_attributes("web/.gitattributes", "# c\n*.js linguist-generated\nlib/*.js -linguist-generated\n/top/** linguist-vendored=true\nx linguist-vendored=false\ny text\n"))
+    said = {"web/a.js": True, "web/b/c.js": True, "web/lib/a.js": False, "web/top/q/r.ts": True, "a.js": None, "web/d/x": False, "web/y": None}
+    assert {p: rules.declared(p) for p in said} == said
+    # attributes are resolved apart: what is not generated may still be vendored; ! takes an attribute back; a deeper file wins over a later line
+    lines = G.parse_attributes(".gitattributes", "vendor/** linguist-vendored\nvendor/x.py -linguist-generated\nvendor/own/* !linguist-vendored\nlib/** linguist-generated\n") + G.parse_attributes("lib/.gitattributes", "hand.ts -linguist-generated\n")
+    said = {"vendor/x.py": True, "vendor/own/a.py": None, "vendor/b/c.py": True, "lib/a.ts": True, "lib/hand.ts": False}
+    assert {p: G.Rules(lines).declared(p) for p in said} == said
 
 
 def test_evidence():
@@ -219,9 +218,30 @@ def test_generated_in_spark(spark):
     df = spark.createDataFrame([(*r, "z") for r in rows], "file_id bigint, owner string, name string, path string, content string, evidence string")
     got = {r.file_id: r.reason for r in G.not_handwritten(df).collect()}
     assert got == {**{i: "said" for i in range(8)}, **{i: "mined" for i in range(8, 12)}, 101: "declared", 104: "path"}
+    assert {r.file_id: r.declared for r in G.declared(G.scan(df), limit=0).collect()} == {r.file_id: r.declared for r in G.declared(G.scan(df)).collect()} == {101: True, 102: False}
     assert G.not_handwritten(df.limit(0)).count() == 0
 
 
+def test_mined_and_declared_patterns_beat_the_list(spark):
+    """Directories and endings no published convention has, learned from files that say what they are, and declarations that overrule path patterns."""
+    says = "# This file was generated by rowgen from rows.idl\nx = 1\n"
+    rows = []
+    for r in range(8):
+        rows += [(1000 * r + i, "o", f"r{r}", f"src/wiregen_out/part{i}.py" if i < 8 else f"lib/table{i}_rows.py", says if i % 2 else "x = 1\n") for i in range(16)]
+        rows += [(1000 * r + 100 + i, "o", f"r{r}", f"src/hand/part{i}.py", "y = 2\n") for i in range(16)]
+    rows += [(9000, "o", "r0", ".gitattributes", "src/wiregen_out/own.py -linguist-generated\nplain/** linguist-vendored\n"), (9001, "o", "r0", "src/wiregen_out/own.py", "z = 3\n"), (9002, "o", "r0", "plain/a.py", "z = 3\n"), (9003, "o", "r1", "plain/a.py", "z = 3\n"), (9004, "o", "r1", "node_modules/a.js", "let z = 3\n")]
+    files = spark.createDataFrame(rows, "file_id bigint, owner string, name string, path string, content string")
+    listed = {i for i, _, _, p, c in rows if G.found(p, c) or G.published(G.path_patterns(p))}
+    true = {i for i, _, _, p, _ in rows if "wiregen_out/part" in p or "_rows" in p} | {9002, 9004}
+    got = {r.file_id: r.reason for r in G.not_handwritten(files).collect()}
+    assert set(got) == true and len(true - listed) == 65
+    assert got[9002] == "declared" and got[9004] == "path" and [v for v in got.values()].count("mined") == 64
+    # files the scan alone names are judged by path, and a null content hides nothing
+    scanned = spark.createDataFrame([(9005, "o", "r5", "src/wiregen_out/late.py", "py", 5), (9006, "o", "r5", "src/late.py", None, None), (0, "o", "r0", "src/wiregen_out/part0.py", "py", 5)], "file_id bigint, owner string, name string, path string, extension string, size_bytes bigint")
+    got = {r.file_id for r in G.not_handwritten(G.all_files(scanned, files)).collect()}
+    assert got == true | {9005}
+
+
 # pairs
 
 
