@@ -22,6 +22,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from .common import bounded_sample, require
 
 TAGS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
-SAMPLE, STEPS, RATE, PENALTY, SEED = 3000, 60, 0.25, 2e-5, 7
+SAMPLE, STEPS, RATE, PENALTY, SEED = 3000, 80, 0.25, 2e-5, 7
 #: Hashed word features, and clauses in one training piece: longer answers are fitted in several pieces.
 WIDTH, PIECE = 1 << 15, 64
 #: By how much a field has to prefer a refusal before a pair without the flag loses its label.
@@ -87,6 +88,7 @@ _STOPPED = re.compile(r"[.!?…]")
 _NAME = re.compile(r"[\w./]+\([^)]*\)|\w+_\w+|[a-z]+[A-Z]\w*")
 _TOKEN = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“\n]*“|«[^»\n]*»|`[^`\n]*`|\w[\w./]*\([^()\n]*\)|[^\W_]+(?:[_./]+[^\W_]+)+|[^\W_]+")
 _CAMEL = re.compile(r"[a-z][A-Z]")
+_ENDS = frozenset(".!?…")
 _KEPT = re.compile(r"[.!?…\s]")
 
 
@@ -233,7 +235,7 @@ class Tongue:
         return "", 0.0
 
 
-FEATURES = ["bias", "first", "last", "item", "code", "open", "citation", "short", "same", "other", "unknown", "whole_other", "whole_same", "overlap_some", "overlap_most", "overlap_all", "in_order", "begins", "asks", "end_stop", "end_colon", "end_comma", "end_word", "end_sign", "end_open", "end_citation", "last_stop", "last_colon", "last_comma", "last_word", "last_sign", "last_open", "like_item", "unlike_item", "cue_unable", "cue_nothing", "cue_sorry", "cue_source", "cue_instead", "cue_two"]
+FEATURES = ["bias", "first", "last", "item", "code", "open", "citation", "short", "same", "other", "unknown", "whole_other", "whole_same", "overlap_some", "overlap_most", "overlap_all", "in_order", "begins", "asks", "end_stop", "end_colon", "end_comma", "end_word", "end_sign", "end_open", "end_citation", "last_stop", "last_colon", "last_comma", "last_word", "last_sign", "last_open", "like_item", "unlike_item", "prose_left", "item_left", "cue_unable", "cue_nothing", "cue_sorry", "cue_source", "cue_instead", "cue_two"]
 _BASE = len(FEATURES)
 _FIRST_CUE = FEATURES.index("cue_unable")
 
@@ -288,6 +290,8 @@ class Reader:
         question = question or ""
         q = _norm(question.replace("`", ""))
         q_set, q_n = set(q), len(q)
+        # a clause without the longest word of the question is no copy of it
+        q_key = max(q, key=len, default="")
         q_language = self._best(self._words(_NAME.sub(" ", question))[1], 0.5)
         read = []
         total: dict[str, float] = {}
@@ -312,16 +316,15 @@ class Reader:
                 lexical.append([])
                 sizes.append(max(1, len(text.split())))
                 continue
-            words = _norm(text.replace("`", ""))
             if kind == "item":
                 on(3)
-            if len(words) <= 3:
+            if len(ids) <= 3:
                 on(7)
             own = self._best(score, 0.9) or whole
             on(10 if not own or not q_language else 8 if own == q_language else 9)
             if whole and q_language:
                 on(12 if whole == q_language else 11)
-            if q_n and words:
+            if q_n and q_key in text.replace("İ", "i").replace("I", "i").lower() and (words := _norm(text.replace("`", ""))):
                 seen = set(words)
                 share = len(q_set & seen) / len(q_set | seen)
                 if share >= 0.4:
@@ -334,16 +337,18 @@ class Reader:
             tail = text.rstrip("\"'”»)]*_ ")
             if tail.endswith("?"):
                 on(18)
-            unbalanced = text.count("`") % 2 or text.count('"') % 2 or text.count("(") > text.count(")")
-            if unbalanced:
+            if text.count("`") % 2 or text.count('"') % 2 or "(" in text and text.count("(") > text.count(")"):
                 shape = 5
             elif text[-1] == ")" and _CITATION.search(text[-60:]):
                 shape = 6
             else:
-                shape = 0 if tail[-1:] in tuple(".!?…") else 1 if tail[-1:] in (":", ";") else 2 if tail[-1:] == "," else 3 if tail[-1:].isalnum() else 4
+                end = tail[-1:]
+                shape = 0 if end in _ENDS else 1 if end and end in ":;" else 2 if end == "," else 3 if end.isalnum() else 4
             on(19 + shape)
             if i == last and shape < 6:
                 on(26 + shape)
+            if i == last and 2 <= shape <= 5:
+                on(34 if kind == "prose" else 35)
             if kind == "item":
                 if item_stop is not None:
                     on(32 if item_stop == shape else 33)
@@ -354,7 +359,7 @@ class Reader:
                 f += cues if len(cues) < 2 else [*cues, _FIRST_CUE + len(_CUE)]
             dense.append(f)
             lexical.append(ids)
-            sizes.append(max(1, len(words)))
+            sizes.append(max(1, len(ids)))
         return dense, lexical, sizes, [k for k, _ in parts]
 
 
@@ -364,8 +369,8 @@ def matrix(read: list[tuple[list[list[int]], list[list[int]]]]) -> tuple[np.ndar
     words = [c for _, w in read for c in w]
     n = len(dense)
     nd, nw = np.fromiter(map(len, dense), np.int64, n), np.fromiter(map(len, words), np.int64, n)
-    d = np.fromiter((x for c in dense for x in c), np.int64, int(nd.sum()))
-    w = np.fromiter((x for c in words for x in c), np.int64, int(nw.sum()))
+    d = np.fromiter(chain.from_iterable(dense), np.int64, int(nd.sum()))
+    w = np.fromiter(chain.from_iterable(words), np.int64, int(nw.sum()))
     own = np.repeat(np.arange(n), nw)
     pair = np.flatnonzero(own[1:] == own[:-1]) if len(own) else np.zeros(0, np.int64)
     bigram = (w[pair] * 40503 + w[pair + 1] * 7919 + 11) % WIDTH if len(pair) else np.zeros(0, np.int64)
@@ -546,10 +551,12 @@ def _corrupted(whole: list[tuple[str, str, str]], rng: np.random.Generator) -> l
         asked[k].append(q)
     # a small sample is used several times
     for q, a, k in whole * -(-MADE // max(1, len(whole))):
-        kind = rng.integers(4)
+        # half of them are cut
+        kind = max(0, int(rng.integers(6)) - 2)
         parts = clauses(a)
         if kind == 0:
-            at = int(rng.integers(max(1, len(a) * 2 // 5), len(a))) if len(a) > 20 else 0
+            # anywhere, or just before the end
+            at = int(rng.integers(max(1, len(a) * 2 // 5) if rng.random() < 0.6 else len(a) - 20, len(a))) if len(a) > 20 else 0
             cut = a[:at] if rng.random() < 0.4 else a[:at].rsplit(" ", 1)[0].rstrip()
             if rng.random() < 0.15:
                 cut = f"{a}\n\n```\n{cut}"
