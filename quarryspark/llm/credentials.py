@@ -48,6 +48,9 @@ _KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
 _KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 # the rest of a block without an end: header lines and runs of base64, each up to where its line or string ends
 _KEY_OPEN = re.compile(r"(?:(?:\\[nr]|[\s\"'`+#*\\]|//)*(?:(?:Proc-Type|DEK-Info|Version|Comment):[^\n\\]*|=?(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]+={1,2}|(?<==)[A-Za-z0-9+/]{4})(?=[ \t]*(?:[\"'`\\+\r\n]|\Z))))*")
+_KEY_HEADERS = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment):[^\n\\]*")
+# escapes and header lines are kept, runs of base64 between them are key material
+_KEY_RUN = re.compile(r"(\\[nrt]|(?:Proc-Type|DEK-Info|Version|Comment):[^\n\\]*)|[A-Za-z0-9+/=]+")
 _URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://([^\s:/@\"'`<>]*):([^\s/\"'`]+?)@(?=[\w\[.$<{-])", re.I)
 _AUTH = re.compile(r"(?<![\w-])(?:bearer|basic|token)[ \t]+([A-Za-z0-9+/=._~-]{16,})", re.I)
 # the last word of a key that may be sensitive, what closes the key, and what leads to a value
@@ -116,27 +119,6 @@ def secret_shape(value: str, quoted: bool = True) -> bool:
     return False
 
 
-def key_path(text: str, at: int) -> str:
-    """The key that ends at an offset, below the maps and the section that hold its line."""
-    start = text.rfind("\n", 0, at) + 1
-    own = key_name(_KEY_CHARS.search(text[max(start, at - 120) : at]).group())
-    indent = len(text[start:at]) - len(text[start:at].lstrip())
-    parents: list[str] = []
-    while start > 0 and len(parents) < 8:
-        end = start - 1
-        start = text.rfind("\n", 0, end) + 1
-        line = text[start:end]
-        bare = line.strip()
-        if m := re.fullmatch(r"\[([\w.\- ]+)\]", bare):
-            return ".".join([key_name(m.group(1)), *reversed(parents), own])
-        if bare and (deep := len(line) - len(line.lstrip())) < indent:
-            if not (m := re.fullmatch(r"(?:-[ \t]+)?[\"']?([A-Za-z_][\w.-]*)[\"']?\s*[:=]\s*[{(]?", bare)):
-                break
-            indent = deep
-            parents.append(key_name(m.group(1)))
-    return ".".join([*reversed(parents), own])
-
-
 def assignments(text: str, raw: bytes) -> Iterator[tuple[str, int, int, bool]]:
     """(key, start, end, quoted) of every value whose key is sensitive."""
     held = 0
@@ -148,7 +130,7 @@ def assignments(text: str, raw: bytes) -> Iterator[tuple[str, int, int, bool]]:
         if not v:
             continue
         tail = m.start() + re.match(rb"[\w?]+", m.group()).end()
-        head = _KEY_CHARS.search(text[max(0, m.start() - 120) : tail]).group()
+        head = _KEY_CHARS.search(text[text.rfind("\n", 0, m.start()) + 1 : tail]).group()
         if not sensitive(key_name(head)):
             continue
         group = next(g for g in ("text", "plain", "bare") if v.group(g) is not None)
@@ -158,6 +140,17 @@ def assignments(text: str, raw: bytes) -> Iterator[tuple[str, int, int, bool]]:
             held = hi
 
 
+# fixed values: last words of a key path under which a plain word with digits or a phrase is a password too
+_PASSWORD = re.compile(r"(?:password|passwd|passphrase|pwd|passwort|kennwort|parola|parolasi|sifre|sifresi|contrasena|contraseña|wachtwoord|(?:^|_)pass|mot_de_passe)$")
+_ASSIGNED = re.compile(r"[=:]>?[ \t]*(?:\"{3}|'{3}|[\"'`])$")
+_PLAIN_PASSWORD = re.compile(r"(?=.{6,})(?:[a-z]+\d+|\d+[a-z]+)[a-z\d]*|(?=.{16,})[a-z]{2,}(?:([ -])[a-z]{2,})(?:\1[a-z]{2,}){2,}")
+
+
+def plain_password(path: str, text: str, lo: int, hi: int) -> bool:
+    """Whether a quoted value assigned to a password is a weak one: a lower-case word with digits, or four words and more. Single words are names as a rule, and are left."""
+    return bool(_PASSWORD.search(path) and _PLAIN_PASSWORD.fullmatch(text, lo, hi) and _ASSIGNED.search(text[max(0, lo - 60) : lo]) and not _PLACEHOLDER.fullmatch(text, lo, hi))
+
+
 # words a sensitive path holds, in a place other than a leaf before its value: a map or list below, a section, a dotted name, an element, a leaf "key"
 _WORDS = rb"(?:passw|passphrase|pwd|passe?(?![a-z])|secret|token|keys?(?![a-z])|bearer|auth|credential|parola|sifre|\?ifre|kennwort|anahtari|contrase|clave|mdp|identity|wachtwoord|schluessel)"
 _NESTED = re.compile(_WORDS + rb"[\w?-]*(?:\.|[\"'`]?\]?[ \t]*(?:(?:=>|:=|[:=])[ \t]*(?:[\[{(|>&!#]|\r?\n|\Z)|\]|\r?\n[ \t]*\{))|(?<![a-z0-9_])key[\"']?[ \t]*[:=]|\[[^\]\n]*" + _WORDS + rb"|<[^<>]*" + _WORDS)
@@ -177,11 +170,15 @@ _DESCRIBES = re.compile(
 )
 
 
+# fixed values: parents under which a sensitive name is a text about the field, not a credential
+_UNLIKE = frozenset("i18n l10n locale locales translation translations label labels message messages placeholder placeholders hint hints tooltip tooltips".split())
+
+
 def sensitive_path(path: list[str]) -> bool:
     """Whether a key path names a credential: by its leaf, its last two keys read as one, or a parent whose leaf does not just describe it.
     An empty last key is an item of a list."""
     words = [w for k in path if (n := key_name(k)) for w in n.split(".") if w]
-    if not words or _NOT_SENSITIVE.search("_".join(words[-2:])):
+    if not words or _NOT_SENSITIVE.search("_".join(words[-2:])) or _UNLIKE.intersection(words[:-1]):
         return False
     if sensitive(words[-1]) or sensitive("_".join(words[-2:])) or not path[-1] and sensitive(words[-1].removesuffix("s")):
         return True
@@ -318,12 +315,41 @@ def _elements(text: str) -> Iterator[tuple[list[str], int, int, bool]]:
             stack.append((name, own))
 
 
+def parsed(text: str) -> list[tuple[list[str], int, int, bool]]:
+    """(key path, start, end, quoted) of all values that the configuration formats in a text hold."""
+    return [*_lines(text), *(_elements(text) if "<" in text else ())]
+
+
 def nested(text: str, raw: bytes) -> list[tuple[str, int, int, bool]]:
-    """(key path, start, end, quoted) of the values that the configuration formats in a text hold under a sensitive path."""
-    if not _NESTED.search(raw):
+    """The parsed values under a sensitive path."""
+    if not _NESTED.search(raw) and not _TAIL.search(raw):
         return []
-    values = [*_lines(text), *(_elements(text) if "<" in text else ())]
-    return [(".".join(filter(None, map(key_name, path))), lo, hi, quoted) for path, lo, hi, quoted in values if hi - lo >= 6 and sensitive_path(path)]
+    return [(_joined(path), lo, hi, quoted) for path, lo, hi, quoted in parsed(text) if hi - lo >= 6 and sensitive_path(path)]
+
+
+def _joined(path: list[str]) -> str:
+    return ".".join(filter(None, map(key_name, path)))
+
+
+def key_values(text: str, raw: bytes) -> list[tuple[str, int, int, bool]]:
+    """(key path, start, end, quoted) of the values that a sensitive key leads to, in order of start.
+
+    Where a configuration format holds a value, its whole key path decides. Elsewhere, in code, tables and prose, the key right before the value does.
+    """
+    loose = list(assignments(text, raw))
+    if not loose and not _NESTED.search(raw):
+        return []
+    at: dict[int, list[str]] = {}
+    out = []
+    for path, lo, hi, quoted in parsed(text):
+        # the shortest path is that of the format the value stands in; a longer one may come from a line read as two formats
+        at.setdefault(lo, path)
+        if hi - lo >= 6 and sensitive_path(path):
+            out.append((_joined(path), lo, hi, quoted))
+    for head, lo, hi, quoted in loose:
+        if lo not in at or not _UNLIKE.intersection(w for k in at[lo][:-1] for w in key_name(k).split(".")):
+            out.append((_joined(at[lo]) if lo in at else key_name(head), lo, hi, quoted))
+    return sorted(out, key=lambda v: (v[1], -v[2]))
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -337,8 +363,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
         if end and other and other.start() < end.start():
             end = None
         stop = end.start() if end else _KEY_OPEN.match(text, m.end(), other.start() if other else len(text)).end()
-        body = re.sub(r"\\[nr]|[\s\"'+#*/\\]|//", "", text[m.end() : min(end.start() if end else other.start() if other else len(text), m.end() + 400)])
-        if re.match(r"(?:Proc-Type|DEK-Info|Version|Comment)", body) or re.match(r"[A-Za-z0-9+=]{24,}", body):
+        body = re.sub(r"\\[nr]|[\s\"'+#*/\\,]|//", "", text[m.end() : end.start() if end else other.start() if other else len(text)])
+        if (re.match(r"(?:Proc-Type|DEK-Info|Version|Comment)", body) or re.match(r"[A-Za-z0-9+=]{24,}", body)) and re.sub(REDACTED, "", _KEY_HEADERS.sub("", text[m.end() : stop])).strip("\\nr \t\r\n\"'+`#*/,"):
             spans.append((m.start(), end.end() if end else stop, "private_key"))
     for m in ISSUED.finditer(text) if any(h in raw for h in _ISSUED_HINTS) else ():
         if "EXAMPLE" not in m.group() and not re.search(r"(?i)x{6,}|0{8,}|\*{3,}|12345678|your", m.group()):
@@ -352,8 +378,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
         scheme = m.group()[:5].lower() != "token" or re.search(r"[\"'`:=][ \t]*$", text[max(0, m.start() - 8) : m.start()])
         if scheme and not _PLACEHOLDER.fullmatch(v) and (secret_shape(v) or len(v) >= 20 and v.endswith("=")):
             spans.append((m.start(1), m.end(1), "authorization"))
-    for _, lo, hi, quoted in (*assignments(text, raw), *nested(text, raw)):
-        if secret_shape(text[lo:hi], quoted) and "://" not in text[lo:hi] and "-----BEGIN" not in text[lo:hi]:
+    for path, lo, hi, quoted in key_values(text, raw):
+        if (secret_shape(text[lo:hi], quoted) or quoted and plain_password(path, text, lo, hi)) and "://" not in text[lo:hi] and "-----BEGIN" not in text[lo:hi]:
             spans.append((lo, hi, "key_value"))
     spans.sort(key=lambda s: (s[0], -s[1]))
     out: list[tuple[int, int, str]] = []
@@ -364,27 +390,17 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _path_before(text: str, at: int) -> str:
-    """Key path of the value at an offset: its key is the last that could be sensitive before it."""
-    window = max(0, at - 300)
-    last = None
-    for m in _TAIL.finditer(text[window:at].encode("ascii", "replace").lower()):
-        last = window + m.start() + re.match(rb"[\w?]+", m.group()).end()
-    return key_path(text, last) if last is not None else ""
-
-
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     pieces, last = [], 0
     for lo, hi, kind in spans:
         pieces.append(text[last:lo])
         value = text[lo:hi]
         if kind == "private_key":
-            # the markers and the line structure stay
-            head, _, rest = value.partition("-----BEGIN")
+            # the markers, header lines and the line structure stay; every run of base64 goes, a short last one too
             begin = value[: value.index("-----", value.index("BEGIN")) + 5]
             end = _KEY_END.search(value)
             body = value[len(begin) : end.start() if end else len(value)]
-            pieces.append(begin + re.sub(r"[A-Za-z0-9+/=]{16,}", REDACTED, body) + (value[end.start() :] if end else ""))
+            pieces.append(begin + _KEY_RUN.sub(lambda m: m.group(1) if m.group(1) is not None else REDACTED if m.group() != REDACTED else m.group(), body) + (value[end.start() :] if end else ""))
         else:
             pieces.append(REDACTED)
         last = hi
@@ -406,8 +422,8 @@ def credential_spans(chunks: DataFrame) -> DataFrame:
                 spans = find(text)
                 if spans:
                     feeds = [m.start() for m in re.finditer("\n", text)]
-                    paths = {lo: path for path, lo, _, _ in nested(text, text.encode("ascii", "replace").lower())}
-                    rows += [(point, bisect_right(feeds, lo) + 1, kind, (paths.get(lo) or _path_before(text, lo)) if kind == "key_value" else None, len(text[:lo].encode()), len(text[:hi].encode())) for lo, hi, kind in spans]
+                    paths = {lo: path for path, lo, _, _ in key_values(text, text.encode("ascii", "replace").lower())} if any(k == "key_value" for _, _, k in spans) else {}
+                    rows += [(point, bisect_right(feeds, lo) + 1, kind, paths.get(lo) if kind == "key_value" else None, len(text[:lo].encode()), len(text[:hi].encode())) for lo, hi, kind in spans]
             types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], names=["point_id", "line_no", "kind", "key_path", "byte_start", "byte_end"])
 

@@ -133,6 +133,43 @@ def test_long_values_and_open_key_blocks():
         assert body not in out and HEX not in out and after in out
 
 
+def test_key_blocks_are_redacted_to_the_last_line():
+    body = "Qf7" * 21
+    for tail in ("ab12CD34ef5=", "Zz9=", "abc"):
+        for line in ("\n", "\\n", '",\n  "'):
+            t = f"x = 1\n-----BEGIN PRIVATE KEY-----{line}{body}{line}{body}{line}{tail}{line}-----END PRIVATE KEY-----\nsecret_key = '{HEX}'\n"
+            out = C.redact(t, C.find(t))
+            assert tail not in out and body not in out and HEX not in out and out.count("\n") == t.count("\n") and out.count(line) == t.count(line)
+            assert C.find(out) == [] and C.redact(out, C.find(out)) == out
+    t = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n\n{body}\nabc=\n-----END RSA PRIVATE KEY-----\n"
+    out = C.redact(t, C.find(t))
+    assert "DEK-Info: AES-128-CBC,0123" in out and body not in out and "abc=" not in out and C.find(out) == []
+
+
+def test_whole_paths_decide():
+    """The word before the value is the same in each pair; the path above it tells them apart."""
+    v = "Tide!" + "Sparse1311x"
+    pairs = [
+        (f"credentials:\n  github: {v}\n", f"commits:\n  github: {v}\n"), (f"db:\n  password: '{v}'\n", f"i18n:\n  password: '{v}'\n"), (f"[secrets]\nvalue = {v}\n", f"[colours]\nvalue = {v}\n"),
+        (f'{{"api": {{"key": "{v}"}}}}', f'{{"sort": {{"key": "{v}"}}}}'), (f'{{"smtp": {{"password": "{v}"}}}}', f'{{"labels": {{"password": "{v}"}}}}'), (f"<credentials><value>{v}</value></credentials>", f"<settings><value>{v}</value></settings>"),
+    ]
+    for yes, no in pairs:
+        assert [yes[lo:hi] for lo, hi, _ in C.find(yes)] == [v] and C.find(no) == [], (yes, no)
+    deep = "".join("  " * i + f"level{i}:\n" for i in range(30)) + "  " * 30 + f"secrets:\n" + "  " * 31 + f"github: {v}\n"
+    (path, lo, hi, _), = C.key_values(deep, deep.encode().lower())
+    assert deep[lo:hi] == v and path.startswith("level0.level1.") and path.endswith("level29.secrets.github")
+    assert len(C.find("a" * 300 + f'_password = "{v}"')) == 1
+
+
+def test_plain_passwords():
+    for value in ("hunter" + "2", "blue42" + "whale", "correct horse " + "battery staple", "tide-sparse-" + "margin-hive"):
+        for t in (f'password = "{value}"', f'db:\n  passphrase: "{value}"\n', f'{{"adminPwd": "{value}"}}'):
+            assert [t[lo:hi] for lo, hi, _ in C.find(t)] == [value], t
+        assert C.find(f'colour = "{value}"') == C.find(f'raise_for("password", "{value}")') == C.find(f'api_key_name = "{value}"') == []
+    for t in ('password = "password1"', 'password = "required"', 'password = "enter your password here"', 'password = "changeme123"', 'password: "xxxxxxxx"'):
+        assert C.find(t) == [], t
+
+
 # syntax
 
 
