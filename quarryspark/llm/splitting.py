@@ -8,6 +8,7 @@ the limits allow.
 Sizes: ``max_lines`` lines and ``max_chars`` characters hold for a piece with its overlap. The overlap is the last
 ``overlap_lines`` lines before the piece, fewer only where these leave no room for the next line; where not one line does, its last
 ``overlap_chars`` characters, or as many as fit.
+Where lines are dense, a piece is mostly overlap and may advance by one line only, so output grows: at worst every piece repeats ``max_chars`` less one line.
 A line over ``max_chars`` is an atom list of its own, cut after signs and blanks, with ``overlap_chars`` characters shared.
 
 Null contents have no size and are never oversized; blank lines count as lines. Line numbers start at the one in ``chunk_id``,
@@ -140,7 +141,8 @@ def split(text: str, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS, ove
         if j < len(lines):
             line = lines[j] + "\n" * extra(j + 1)
             k = max([0, j - overlap_lines, *(x + 1 for x in long if x < j)])
-            while k < j and at[j] - at[k] > max_chars // 2:
+            # room stays for a first part of the line that is no shorter than an overlap
+            while k < j and at[j] - at[k] > max_chars - 2 * overlap_chars:
                 k += 1
             head = at[j] - at[k]
             if k == j > 0:
