@@ -4,8 +4,8 @@ Every content is the set of its runs of three consecutive tokens. The join is ex
 
 1. Exact copies are folded into classes first, with a map-side combine, so a text that fills a third
    of the table is one row from here on.
-2. Grams are hashed and cut by hash range into *counting fragments*; a fragment counts in how many texts
-   each of its grams occurs. Grams of one text only are dropped, they cannot overlap anything.
+2. Grams are hashed and cut by hash range into *counting fragments*, as many as keep each under ``GROUP_BYTES``; the length of all texts is
+   measured first. Each fragment is a task of its own and counts in how many texts each of its grams occurs. Grams of one text only are dropped, they cannot overlap anything.
    A gram that is frequent within one batch travels as (gram, count) while its postings go past the fragment
    straight back to their batch, so no fragment grows with the frequency of one gram.
 3. The global gram order is (document frequency, hash). A text's prefix is its first n - ceil(t n) + 1 grams in that
@@ -14,6 +14,9 @@ Every content is the set of its runs of three consecutive tokens. The join is ex
 4. The global order is cut into *overlap fragments* at powers of two of document frequency. For each candidate pair
    the overlap of each fragment is counted separately, on its own row, and the counts are summed per pair.
 
+Pairs of copies are listed from blocks of ``SPREAD`` members of their class against the whole class, so a class that holds a third
+of the table is spread over many tasks.
+
 Null contents and contents under ``min_tokens`` tokens are in no pair. Repeated rows of a point count once.
 """
 
@@ -44,6 +47,10 @@ HOT = 256
 FRAGMENTS = 8
 #: Postings of one gram joined in one block.
 BLOCK = 1024
+#: Bytes of grams that one counting fragment holds, about; a task needs some six times as much.
+GROUP_BYTES = 16_000_000
+#: Members of a class of copies that are joined in one block.
+SPREAD = 1024
 
 _TOKEN = re.compile(rb"[a-z0-9_]+")
 _MASK = np.uint64((1 << 48) - 1)
@@ -101,9 +108,9 @@ def _emit_batch(batch: int, ids: list[int], sets: list[np.ndarray], fragments: i
     first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
     counts = np.diff(np.append(first, len(grams)))
     hot = np.repeat(counts > HOT, counts)
-    rows: list[tuple] = [(-1 - batch % fragments, IDS, batch, np.array(ids, np.int64).tobytes(), sizes.tobytes(), b"")]
+    rows: list[tuple] = [(fragments + batch % fragments, IDS, batch, np.array(ids, np.int64).tobytes(), sizes.tobytes(), b"")]
     if hot.any():
-        rows.append((-1 - batch % fragments, POSTINGS, batch, *_pack(grams[hot]), own[hot].tobytes()))
+        rows.append((fragments + batch % fragments, POSTINGS, batch, *_pack(grams[hot]), own[hot].tobytes()))
     hot_grams, hot_counts = grams[first][counts > HOT], counts[counts > HOT]
     grams, own = grams[~hot], own[~hot]
     edges = (np.arange(fragments + 1, dtype=np.float64) * (float(1 << 48) / fragments)).astype(np.uint64)
@@ -231,35 +238,40 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {of(f.type)}" for f in schema)
 
 
+def _hashes():
+    return F.xxhash64("content").alias("h1"), F.xxhash64(F.concat(F.lit("."), "content")).alias("h2")
+
+
 def content_classes(chunks: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """Classes of equal content: rid (least point), content, copies (of distinct points, counted at most as rows)."""
+    """Classes of equal content: rid (least point), content."""
     rows = require(chunks, "point_id", "content").where("point_id IS NOT NULL AND content IS NOT NULL")
-    return (
-        rows.groupBy(F.xxhash64("content").alias("h1"), F.xxhash64(F.concat(F.lit("."), "content")).alias("h2"))
-        .agg(F.min("point_id").alias("rid"), F.first("content").alias("content"))
-        .where(F.length("content") >= 2 * min_tokens - 1)
-    )
+    return rows.groupBy(*_hashes()).agg(F.min("point_id").alias("rid"), F.first("content").alias("content")).where(F.length("content") >= 2 * min_tokens - 1)
 
 
-def _membership(chunks: DataFrame, min_tokens: int) -> DataFrame:
-    """point_id and the least point of equal content."""
+def membership(chunks: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """(point_id, rid, copies, chars): every point with enough tokens, the least point of equal content, the points of that class and the content's length. Settled, as several plans read it."""
     rows = require(chunks, "point_id", "content").where("point_id IS NOT NULL AND content IS NOT NULL").where(F.length("content") >= 2 * min_tokens - 1)
-    keyed = rows.select("point_id", F.xxhash64("content").alias("h1"), F.xxhash64(F.concat(F.lit("."), "content")).alias("h2"), (F.regexp_count("content", F.lit("[A-Za-z0-9_]+")) >= min_tokens).alias("enough"))
+    keyed = rows.select("point_id", *_hashes(), F.length("content").alias("chars"), (F.regexp_count("content", F.lit("[A-Za-z0-9_]+")) >= min_tokens).alias("enough"))
     keyed = keyed.where("enough").drop("enough").distinct()
-    least = keyed.groupBy("h1", "h2").agg(F.min("point_id").alias("rid"))
-    return keyed.join(least, ["h1", "h2"]).select("point_id", "rid")
+    classes = keyed.groupBy("h1", "h2").agg(F.min("point_id").alias("rid"), F.count("*").alias("copies"))
+    return reliable(keyed.join(classes, ["h1", "h2"]).select("point_id", "rid", "copies", "chars"))
 
 
-def similar_classes(chunks: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_tokens: int = MIN_TOKENS, ngram: int = NGRAM, fragments: int | None = None) -> DataFrame:
+def similar_classes(chunks: DataFrame, member: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_tokens: int = MIN_TOKENS, ngram: int = NGRAM, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Pairs (rid_a, rid_b, overlap, n_a, n_b) of different contents, rid_a < rid_b, whose sets are alike."""
     spark = chunks.sparkSession
     num, den = threshold
-    fragments = fragments or max(128, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a token and the sign after it take five characters or more in most texts, and a gram travels as eight bytes
+    size = 8 * (member.where("point_id = rid").agg(F.sum("chars")).first()[0] or 0) // 5
+    fragments = max(partitions, -(-size // group_bytes))
+    batches = max(partitions, 2 * -(-size // (8 * BATCH_GRAMS)))
     # sorted, so that a task that runs again after a lost executor makes the same batches
     texts = content_classes(chunks, min_tokens).select("rid", "content").sortWithinPartitions("rid")
     blocks = texts.mapInArrow(_shingler(fragments, min_tokens, ngram), _ddl(_BLOCKS))
-    counted = blocks.groupBy("frag").applyInArrow(_count_fragment, _ddl(_COUNTED))
-    records = reliable(counted.groupBy("batch").applyInArrow(_batch_records(threshold, FRAGMENTS), _ddl(_RECORDS)))
+    # the second half of the partitions only hands rows through
+    counted = blocks.repartitionById(2 * fragments, "frag").groupBy("frag").applyInArrow(_count_fragment, _ddl(_COUNTED))
+    records = reliable(counted.repartition(batches, "batch").groupBy("batch").applyInArrow(_batch_records(threshold, FRAGMENTS), _ddl(_RECORDS)))
     posts = records.select("rid", "n", "rare", F.posexplode(F.arrays_zip("prefix", "prefix_df")).alias("at", "g")).select("rid", "n", (F.col("n") - F.col("rare") - F.col("at") - 1).alias("after"), F.col("g.prefix").alias("gram"), F.ceil(F.col("g.prefix_df") / BLOCK).cast("int").alias("blocks"))
     left = posts.select("gram", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block"), F.col("rid").alias("a"), F.col("n").alias("na"), F.col("after").alias("after_a"))
     right = posts.select("gram", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("after").alias("after_b"))
@@ -284,21 +296,27 @@ def similar_classes(chunks: DataFrame, threshold: tuple[int, int] = THRESHOLD, m
 def near_duplicate_pairs(chunks: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """All pairs (point_id_a, point_id_b), a < b, of different points whose contents are alike, equal contents included.
 
-    Copies are expanded by hash joins on the class, never inside one task.
+    A class of n copies is n squared over two pairs by definition; they come from n / ``SPREAD`` blocks of it, each with the whole class.
     """
-    pairs = similar_classes(chunks, threshold, min_tokens)
-    member = _membership(chunks, min_tokens)
-    a, b = member.select(F.col("rid").alias("rid_a"), F.col("point_id").alias("p")), member.select(F.col("rid").alias("rid_b"), F.col("point_id").alias("q"))
-    between = pairs.join(a, "rid_a").join(b, "rid_b").select("p", "q")
-    within = a.join(b.withColumnRenamed("rid_b", "rid_a"), "rid_a").where("p < q").select("p", "q")
+    member = membership(chunks, min_tokens)
+    pairs = similar_classes(chunks, member, threshold, min_tokens)
+    blocks = F.ceil(F.col("copies") / SPREAD).cast("int")
+    own = member.select("rid", F.pmod(F.xxhash64("point_id"), blocks).cast("int").alias("block"), "point_id")
+    every = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
+    sizes = member.where("point_id = rid").select("rid", every)
+    side = lambda k, p: own.select(F.col("rid").alias(f"rid_{k}"), F.col("block").alias(f"block_{k}"), F.col("point_id").alias(p))
+    split = lambda k: sizes.select(F.col("rid").alias(f"rid_{k}"), F.col("block").alias(f"block_{k}"))
+    between = pairs.select("rid_a", "rid_b").join(split("a"), "rid_a").join(side("a", "p"), ["rid_a", "block_a"]).select("p", "rid_b").join(split("b"), "rid_b").join(side("b", "q"), ["rid_b", "block_b"]).select("p", "q")
+    copied = member.where("copies > 1")
+    whole = copied.select(F.col("rid").alias("rid_a"), every.alias("block_a"), F.col("point_id").alias("q"))
+    within = side("a", "p").join(whole, ["rid_a", "block_a"]).where("p < q").select("p", "q")
     return between.unionByName(within).select(F.least("p", "q").alias("point_id_a"), F.greatest("p", "q").alias("point_id_b"))
 
 
 def near_duplicate_links(chunks: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """One row per point with enough tokens: class_id (least point of equal content), copies (points of that class)
     and links (other classes that are alike)."""
-    pairs = similar_classes(chunks, threshold, min_tokens)
-    member = _membership(chunks, min_tokens)
+    member = membership(chunks, min_tokens)
+    pairs = similar_classes(chunks, member, threshold, min_tokens)
     links = pairs.select(F.explode(F.array("rid_a", "rid_b")).alias("rid")).groupBy("rid").agg(F.count("*").alias("links"))
-    copies = member.groupBy("rid").agg(F.count("*").alias("copies"))
-    return member.join(copies, "rid").join(links, "rid", "left").select("point_id", F.col("rid").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return member.join(links, "rid", "left").select("point_id", F.col("rid").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))

@@ -57,6 +57,8 @@ def test_pairs_equal_brute_force(spark, monkeypatch):
 
 def test_blocks_and_links(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 7)
+    monkeypatch.setattr(N, "SPREAD", 3)
+    monkeypatch.setattr(N, "GROUP_BYTES", 900)
     rows = fixture()
     df = spark.createDataFrame(rows, CHUNK)
     assert {(r.point_id_a, r.point_id_b) for r in N.near_duplicate_pairs(df).collect()} == brute(rows)
@@ -65,6 +67,16 @@ def test_blocks_and_links(spark, monkeypatch):
     assert links[1003].links == len([p for p in brute(rows) if 1003 in p])
 
 
+def test_class_of_many_copies(spark):
+    rng = random.Random(1)
+    text = " ".join(f"w{rng.randrange(500)}" for _ in range(90))
+    rows = [(i, text) for i in range(20_000)] + [(50_000, text + " tail"), (50_001, " ".join(f"v{i}" for i in range(80)))]
+    df = spark.createDataFrame(rows, CHUNK)
+    assert {(r.class_id, r.copies, r.links, r["count"]) for r in N.near_duplicate_links(df).groupBy("class_id", "copies", "links").count().collect()} == {(0, 20_000, 1, 20_000), (50_000, 1, 1, 1), (50_001, 1, 0, 1)}
+    small = df.where("point_id < 1500 OR point_id >= 50000")
+    assert N.near_duplicate_pairs(small).count() == N.near_duplicate_pairs(small).distinct().count() == 1500 * 1499 // 2 + 1500
+
+
 def test_empty(spark):
     assert N.near_duplicate_pairs(spark.createDataFrame([], CHUNK)).count() == 0
     assert N.near_duplicate_pairs(spark.createDataFrame([(1, None), (2, "a b")], CHUNK)).count() == 0
