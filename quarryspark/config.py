@@ -17,6 +17,7 @@ class Limits:
     file_listing: int = 200
     chunk_listing: int = 100
     pool: int = 20
+    answer_chunks: int = 6
     rrf_k: int = 60
     bm25_k1: float = 1.5
     bm25_b: float = 0.75

@@ -50,3 +50,30 @@ def retriable(message: Column) -> Column:
 
 def service_failure_status(message: Column) -> Column:
     return F.when(message.rlike("429|RESOURCE_EXHAUSTED"), 429).when(message.rlike("503|UNAVAILABLE"), 503).otherwise(502)
+
+
+_RETRIABLE = re.compile("503|UNAVAILABLE|429|RESOURCE_EXHAUSTED")
+# what each kind of failure of a service means, the first that its text holds
+_FAILURES = [("429|RESOURCE_EXHAUSTED", "over the request limit; wait a minute and ask again", 429), ("503|UNAVAILABLE", "the model is busy; try again in a few seconds", 503), ("404|NOT_FOUND", "there is no model of that name; check the settings", 502), ("401|403|PERMISSION", "the key was refused; check the settings", 502)]
+
+
+def is_retriable(message: str) -> bool:
+    return bool(_RETRIABLE.search(message))
+
+
+def failure(message: str) -> tuple[str, int]:
+    """(text for the user, status) of a service's failure."""
+    return next(((text, status) for pattern, text, status in _FAILURES if re.search(pattern, message)), ("no answer was made; try again later", 502))
+
+
+def service_failure_message(message: Column) -> Column:
+    out = F.lit("no answer was made; try again later")
+    for pattern, text, _ in reversed(_FAILURES):
+        out = F.when(message.rlike(pattern), text).otherwise(out)
+    return out
+
+
+def clone_failure_message(message: Column) -> Column:
+    """What a failed clone means, by its status."""
+    status = clone_failure_status(message)
+    return F.when(status == 403, "the repository is private or its address needs a login").when(status == 404, "there is no such repository").when(F.lower(message).rlike("could not resolve host|failed to connect"), "the host cannot be reached").otherwise("the repository could not be cloned")

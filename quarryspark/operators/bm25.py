@@ -1,5 +1,7 @@
 """BM25 over an inverted index, many queries in one plan.
 
+``search`` reads chunks without an index; ``search_postings`` reads stored postings, only those of the queries' terms.
+
 Corpus statistics come from one pass with map-side combine, settled once; postings are cut to the query terms before they are shuffled.
 A term in more than half of the documents has a negative raw idf and gets epsilon times the average over the vocabulary.
 """
@@ -72,3 +74,36 @@ def search(chunks: DataFrame, queries: DataFrame, limit: int = 5, k1: float = LI
     weighted = terms.join(idf, "term")
     scored = tf.join(weighted, "term").crossJoin(F.broadcast(stats.select("avgdl"))).groupBy("query_id", "point_id").agg(F.round(F.sum(part), 6).alias("score"))
     return top(scored.where("score > 0"), limit).select("query_id", "rank", "point_id", "score")
+
+
+def posting_rows(tokens: DataFrame) -> DataFrame:
+    """(term, point_id, tf, dl); a null term stands for the document itself, so one without a token counts too."""
+    sized = tokens.select("point_id", F.size("tokens").alias("dl"), F.concat("tokens", F.array(F.lit(None).cast("string"))).alias("terms"))
+    return sized.select("point_id", "dl", F.explode_outer("terms").alias("term")).groupBy("point_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "point_id", "tf", "dl")
+
+
+#: Distinct query terms up to which a search names them in its filters; beyond, they are joined.
+NAMED_TERMS = 2000
+
+
+def search_postings(postings: DataFrame, terms: DataFrame, stats: tuple[int, float, float], queries: DataFrame, limit: int = 5, parts: int = 1, k1: float = LIMITS.bm25_k1, b: float = LIMITS.bm25_b) -> DataFrame:
+    """The rows of ``search`` from stored postings(term, point_id, tf, dl, part), terms(term, df) and (documents, average length, mean raw idf)."""
+    n, avgdl, mean = stats
+    spark = postings.sparkSession
+    asked = queries.select("query_id", F.explode(code_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    rows = asked.limit(4 * NAMED_TERMS + 1).collect()
+    named = sorted({r.term for r in rows})
+    if len(rows) <= 4 * NAMED_TERMS and len(named) <= NAMED_TERMS:
+        asked = spark.createDataFrame([(r.query_id, r.term, r.times) for r in rows], asked.schema)
+        where = spark.createDataFrame([(t,) for t in named], "term string").select(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part")).distinct().collect() if parts > 1 else []
+        postings = postings.where(F.col("term").isin(named))
+        terms = terms.where(F.col("term").isin(named))
+        if parts > 1:
+            postings = postings.where(F.col("part").isin([r.part for r in where]))
+    else:
+        postings = postings.join(asked.select("term").distinct(), "term", "left_semi")
+    raw = raw_idf(F.lit(n), F.col("df"))
+    weighted = asked.join(terms.select("term", F.when(raw < 0, LIMITS.bm25_epsilon * mean).otherwise(raw).alias("idf")), "term")
+    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
+    scored = postings.select("term", "point_id", "tf", "dl").join(weighted, "term").groupBy("query_id", "point_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return top(scored.where("score > 0"), limit).select("query_id", "rank", "point_id", "score")

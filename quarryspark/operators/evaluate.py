@@ -35,6 +35,11 @@ def best_variant(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.max_by("variant", F.struct("mrr", "variant")).alias("variant"), F.max("mrr").alias("mrr"))
 
 
+def side_by_side(metrics: DataFrame, variants: list[str], value: str = "recall_at_1") -> DataFrame:
+    """(category, one column for each variant) of metrics(variant, category, value); null where a variant has no such category."""
+    return metrics.groupBy("category").pivot("variant", variants).agg(F.first(value))
+
+
 def refusal_rates(answers: DataFrame) -> DataFrame:
     """Per category and, as a null category with level 1, over all: answers(category, refused boolean)."""
     return answers.rollup("category").agg(F.grouping("category").cast("int").alias("level"), F.count("*").alias("questions"), F.count_if(F.col("refused")).alias("refused")).withColumn("rate", F.round(F.col("refused") / F.col("questions"), 6))

@@ -24,6 +24,14 @@ def listing(hits: DataFrame) -> DataFrame:
     return lines.select("query_id", F.array_join(F.transform("l", lambda s: s.text), "\n").alias("listing"))
 
 
+def formatted(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, text): the hits of a tool call as a model reads them, without numbers; a query without hits says so."""
+    place = location(F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("symbol_type"), F.col("symbol_name"))
+    block = F.concat(F.lit("--- "), place, F.lit(" ---\n"), F.col("content"))
+    joined = hits.select("query_id", "rank", block.alias("text")).groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda s: s.text), "\n\n").alias("text"))
+    return questions.select("query_id").distinct().join(joined, "query_id", "left").select("query_id", F.coalesce("text", F.lit("No results.")).alias("text"))
+
+
 def first_evidence(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in order: an aggregate, so a repeated key is reduced before it is shuffled."""
     others = [c for c in rows.columns if c not in keys]

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..config import LIMITS
 from ..functions.text import code_token_bag
 
-#: Query vectors broadcast at once: 4096 of 64 floats are 2 MB.
-QUERY_BLOCK = 4096
+#: Bytes of the query vectors that are broadcast at once, and of the scores a task holds at once.
+QUERY_BYTES, SCORE_BYTES = 4_000_000, 16_000_000
 
 
 def bucket(token, dimensions: int = LIMITS.dimensions):
@@ -31,11 +31,43 @@ def embed(rows: DataFrame, key: str, text: str, dimensions: int = LIMITS.dimensi
     return per.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)) / F.col("norm")).alias("embedding"))
 
 
+def _rows(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix, which rows it holds) of a list column; vectors of another length are left out."""
+    lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    keep = np.flatnonzero(lengths == dimensions)
+    if len(keep) < len(column):
+        column = column.take(pa.array(keep))
+    return column.flatten().cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, dimensions), keep
+
+
+def best(q: np.ndarray, keys: np.ndarray, x: np.ndarray, limit: int, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, scores) of the ``limit`` nearest rows of x for each row of q; equal scores go to the lesser key. Scores are made in blocks of bounded size."""
+    order = np.argsort(keys, kind="stable")
+    keys, x = keys[order], x[order]
+    size = max(1, SCORE_BYTES // (8 * max(1, len(q))))
+    scale = 10**places
+    found_keys, found = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.int64)
+    for at in range(0, len(keys), size):
+        part = x[at : at + size]
+        n = len(part)
+        # the rounded score and the place among rows in order of key in one number, so that no two are equal
+        score = np.rint(q @ part.T * scale).astype(np.int64)
+        rank = score * n + np.arange(n - 1, -1, -1)
+        if n > limit:
+            rank = -np.partition(-rank, limit - 1, axis=1)[:, :limit]
+        found = np.concatenate([found, rank // n], axis=1)
+        found_keys = np.concatenate([found_keys, keys[at : at + size][n - 1 - rank % n]], axis=1)
+        if found.shape[1] > limit:
+            top = np.lexsort((found_keys, -found), axis=1)[:, :limit]
+            found, found_keys = np.take_along_axis(found, top, 1), np.take_along_axis(found_keys, top, 1)
+    return found_keys, found / scale
+
+
 def search(vectors: DataFrame, queries: DataFrame, limit: int = 5, key: str = "point_id", query_key: str = "query_id", places: int = 5) -> DataFrame:
     """(query_key, rank, key, score): exact cosine top-k of vectors(key, embedding) for queries(query_key, embedding).
 
     Blocks of queries are broadcast; every batch of vectors keeps its best rows for each query, and only those are shuffled.
-    Scores are rounded before they are compared, ties go to the lesser key. Null and zero vectors are no hits.
+    Scores are rounded before they are compared, ties go to the lesser key. Null and zero vectors, and those of another length than the query's, are no hits.
     """
     context = vectors.sparkSession.sparkContext
     found = None
@@ -47,30 +79,32 @@ def search(vectors: DataFrame, queries: DataFrame, limit: int = 5, key: str = "p
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q_ids, q = shared.value
             for b in batches:
-                keys = b.column(0).to_numpy(zero_copy_only=False)
-                x = np.array(b.column(1).to_pylist(), np.float64).reshape(len(keys), -1)
+                x, kept = _rows(b.column(1), q.shape[1])
+                keys = b.column(0).to_numpy(zero_copy_only=False)[kept].astype(np.int64)
                 norm = np.linalg.norm(x, axis=1)
                 keys, x = keys[norm > 0], x[norm > 0] / norm[norm > 0, None]
                 if not len(keys):
                     continue
-                score = np.round(q @ x.T, places) + 0.0
-                order = np.lexsort((np.broadcast_to(keys, score.shape), -score), axis=1)[:, :limit]
-                rows = np.arange(len(q_ids))[:, None]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, order.shape[1])), pa.array(keys[order].ravel().astype(np.int64)), pa.array(score[rows, order].ravel())], names=[query_key, key, "score"])
+                got, score = best(q, keys, x, limit, places)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, got.shape[1])), pa.array(got.ravel()), pa.array(score.ravel() + 0.0)], names=[query_key, key, "score"])
 
-        return vectors.select(key, "embedding").where(F.col("embedding").isNotNull()).mapInArrow(run, f"{query_key} bigint, {key} bigint, score double")
+        return vectors.select(key, "embedding").where(F.col("embedding").isNotNull() & F.col(key).isNotNull()).mapInArrow(run, f"{query_key} bigint, {key} bigint, score double")
 
     def flush(found: DataFrame | None) -> DataFrame:
-        m = np.array([v for _, v in block], np.float64)
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        part = scan([i for i, _ in block], np.divide(m, n, out=np.zeros_like(m), where=n > 0))
-        return part if found is None else found.unionByName(part)
-
-    for r in queries.select(query_key, "embedding").where(F.col("embedding").isNotNull()).toLocalIterator():
+        for width in sorted({len(v) for _, v in block}):
+            rows = [(i, v) for i, v in block if len(v) == width]
+            m = np.array([v for _, v in rows], np.float64)
+            n = np.linalg.norm(m, axis=1, keepdims=True)
+            part = scan([i for i, _ in rows], np.divide(m, n, out=np.zeros_like(m), where=n > 0))
+            found = part if found is None else found.unionByName(part)
+        return found
+
+    held = 0
+    for r in queries.select(query_key, "embedding").where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).toLocalIterator():
         block.append((r[0], r[1]))
-        if len(block) == QUERY_BLOCK:
-            found = flush(found)
-            block = []
+        held += 8 * len(r[1])
+        if held >= QUERY_BYTES:
+            found, block, held = flush(found), [], 0
     if block:
         found = flush(found)
     if found is None:

@@ -12,6 +12,7 @@ from ..functions import addresses, text
 from ..operators import bm25, citations, evaluate, fusion, graph, incremental, line_chunks, prompts, replay, scan, symbol_chunks, vector
 from ..sources import tables as T
 from ..sources.checkpoints import settle
+from ..sources.postings import SearchIndex, table_index
 
 Questions = Callable[[SparkSession, str], DataFrame]
 
@@ -92,8 +93,13 @@ def inverse_frequency(spark: SparkSession, d: str) -> DataFrame:
     return bm25.inverse_frequency(bm25.document_frequency(tokens), bm25.corpus_stats(tokens)).select("term", F.round("idf", 6).alias("idf"))
 
 
+def _index(spark: SparkSession, d: str) -> SearchIndex:
+    """Postings and vectors of all stored chunks: written at the first search of a session, read by the others."""
+    return table_index(spark, f"{d}/chunks.parquet", lambda: T.chunks(spark, d))
+
+
 def _keyword(spark: SparkSession, d: str, limit: int, questions: Questions = T.eval_questions) -> DataFrame:
-    return bm25.search(T.chunks(spark, d), questions(spark, d), limit)
+    return _index(spark, d).keyword(questions(spark, d), limit)
 
 
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +118,7 @@ def embedding_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _semantic(spark: SparkSession, d: str, limit: int, questions: Questions = T.eval_questions) -> DataFrame:
-    return vector.search(vector.embed(T.chunks(spark, d), "point_id", "content"), vector.embed(questions(spark, d), "query_id", "query"), limit)
+    return _index(spark, d).semantic(questions(spark, d), limit)
 
 
 def semantic_search(spark: SparkSession, d: str) -> DataFrame:

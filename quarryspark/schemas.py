@@ -1,15 +1,10 @@
-"""Schemas of the records that operators exchange."""
+"""Names that records of the engine share."""
 
 from __future__ import annotations
 
-FILES = "owner string, name string, path string, extension string, size_bytes bigint, lines int, skip_reason string"
-CHUNKS = "owner string, name string, chunk_id string, file_path string, start_line int, end_line int, content string, symbol_name string, symbol_type string"
-HITS = "owner string, name string, chunk_id string, file_path string, start_line int, end_line int, content string, symbol_name string, symbol_type string, score double, vector_rank int, keyword_rank int, rerank_score double"
-STATE = "owner string, name string, path string, sha1 string"
-JOBS = "owner string, name string, state string, error string, files bigint, chunks bigint, seconds double"
-EDGES = "source string, target string"
+#: Fields of a serialised hit; those a search does not give are null.
+HIT_FIELDS = ["chunk_id", "file_path", "start_line", "end_line", "content", "symbol_name", "symbol_type", "score", "vector_rank", "keyword_rank", "rerank_score"]
 
 #: Stage of an index job.
 JOB_STATES = ["queued", "parsing", "embedding", "ready", "failed"]
 SEARCH_MODES = ["semantic", "keyword", "hybrid"]
-CITATION_STATES = ["verified", "out_of_range", "unknown_file"]

@@ -1,8 +1,10 @@
 import math
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
+from quarryspark.sources import postings
 from quarryspark.operators import bm25, citations, evaluate, fusion, prompts, vector
 from tests.test_text import reference_tokens
 
@@ -44,6 +46,71 @@ def test_vector_search(spark):
     assert vector.search(v, q.limit(0), 3).count() == 0
 
 
+def test_many_queries_with_ties(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vector, "SCORE_BYTES", 400_000)
+    monkeypatch.setattr(vector, "QUERY_BYTES", 150_000)
+    rng = np.random.default_rng(3)
+    x, q = rng.integers(-2, 3, (700, 4)).astype(float), rng.integers(-2, 3, (5000, 4)).astype(float)
+    v = spark.createDataFrame([(i * 7 % 701, r.tolist()) for i, r in enumerate(x)] + [(9001, [1.0, 2.0]), (9002, None)], "point_id bigint, embedding array<double>")
+    asked = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(q)], "query_id bigint, embedding array<double>")
+    got = vector.search(v, asked, 6).toPandas().sort_values(["query_id", "rank"])
+    ids = np.array([i * 7 % 701 for i in range(700)])
+    live = np.linalg.norm(x, axis=1) > 0
+    xn, keys = x[live] / np.linalg.norm(x[live], axis=1, keepdims=True), ids[live]
+    norm = np.linalg.norm(q, axis=1, keepdims=True)
+    score = np.round(np.divide(q, norm, out=np.zeros_like(q), where=norm > 0) @ xn.T, 5)
+    expected = keys[np.lexsort((np.broadcast_to(keys, score.shape), -score), axis=1)[:, :6]]
+    assert got.point_id.to_numpy().reshape(5000, 6).tolist() == expected.tolist()
+
+
+def test_stored_postings(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame(DOCS, CHUNK)
+    texts = ["read cache", "index index write", "the story", "unknown", "", "..."]
+    q = spark.createDataFrame(list(enumerate(texts)), "query_id bigint, query string")
+    for parts in (20_000_000, 3):
+        monkeypatch.setattr(postings, "PART_ROWS", parts)
+        index = postings.write_index(docs, str(tmp_path / f"i{parts}"))
+        assert (index.parts > 1) == (parts == 3)
+        for named in (2000, 0):
+            monkeypatch.setattr(bm25, "NAMED_TERMS", named)
+            got = postings.open_index(spark, index.path).keyword(q, 10).collect()
+            for i, t in enumerate(texts):
+                assert [(r.point_id, r.score) for r in sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])] == brute(DOCS, t)
+    assert [r.point_id for r in index.semantic(q.where("query_id = 2"), 1).collect()] == [3]
+    empty = postings.write_index(docs.limit(0), str(tmp_path / "none"))
+    assert empty.keyword(q, 10).count() == 0 and empty.semantic(q, 10).count() == 0
+    assert postings.open_index(spark, str(tmp_path / "missing")) is None
+
+
+def test_table_index_is_kept_until_the_table_changes(spark, tmp_path):
+    docs = spark.createDataFrame(DOCS, CHUNK)
+    path = str(tmp_path / "chunks.parquet")
+    docs.write.parquet(path)
+    made = []
+
+    def read():
+        made.append(1)
+        return spark.read.parquet(path)
+
+    first = postings.table_index(spark, path, read)
+    assert postings.table_index(spark, path, read) is first and len(made) == 1
+    docs.limit(2).write.mode("append").parquet(path)
+    assert postings.table_index(spark, path, read).path != first.path and len(made) == 2
+
+
+def test_checkpoint_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from quarryspark.errors import EngineError
+    from quarryspark.sources.checkpoints import shared_folder
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: {}, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(isLocal=lambda: False)))
+    with pytest.raises(EngineError):
+        shared_folder(SimpleNamespace(sparkContext=context, conf={}))
+
+
 def test_embedding_is_normal(spark):
     df = spark.createDataFrame([(1, "a b a"), (2, "")], "point_id bigint, content string")
     rows = vector.embed(df, "point_id", "content").collect()
