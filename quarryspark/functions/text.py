@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import LIMITS
 
+# fixed values: patterns that define tokens and citations
 #: An identifier or a run of digits.
 IDENTIFIER = r"([A-Za-z_][A-Za-z0-9_]*|[0-9]+)"
 #: Where an identifier falls into words: at underscores and where the case turns.

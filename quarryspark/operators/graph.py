@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import SCRIPT_SUFFIXES
 from ..functions.text import file_extension
 
+# fixed value: a relative import of a script
 SCRIPT_IMPORT = r"""(?:from\s+|import\s*\(\s*)['"](\.[^'"]+)['"]"""
 REPO = ["owner", "name"]
 

@@ -159,7 +159,44 @@ SELECT owner, name, address, CASE WHEN o <> '' AND n NOT IN ('.', '..') THEN o E
     "failure_statuses": """WITH m(message) AS (VALUES ('fatal: Could not resolve host: x'), ('Failed to connect to y'), ('fatal: Authentication failed'), ('could not read Username'), ('ERROR: Repository not found.'), ('repository does not exist'), ('disk full'), ('429 slow down'), ('RESOURCE_EXHAUSTED'), ('503 busy'), ('UNAVAILABLE'), ('404 NOT_FOUND'), ('401'), ('PERMISSION denied'), (''))
 SELECT message, CASE WHEN contains(lower(message), 'could not resolve host') OR contains(lower(message), 'failed to connect') THEN 502 WHEN contains(lower(message), 'authentication failed') OR contains(lower(message), 'could not read username') THEN 403
  WHEN contains(lower(message), 'not found') OR contains(lower(message), 'repository does not exist') THEN 404 ELSE 502 END AS clone_status,
- CASE WHEN regexp_matches(message, '429|RESOURCE_EXHAUSTED') THEN 429 WHEN regexp_matches(message, '503|UNAVAILABLE') THEN 503 ELSE 502 END AS service_status, regexp_matches(message, '503|UNAVAILABLE|429|RESOURCE_EXHAUSTED') AS retriable FROM m""",
+ CASE WHEN regexp_matches(message, '429|RESOURCE_EXHAUSTED') THEN 429 WHEN regexp_matches(message, '503|UNAVAILABLE') THEN 503 ELSE 502 END AS service_status, regexp_matches(message, '503|UNAVAILABLE|429|RESOURCE_EXHAUSTED') AS retriable,
+ CASE WHEN contains(lower(message), 'could not resolve host') OR contains(lower(message), 'failed to connect') THEN 'the host cannot be reached' WHEN contains(lower(message), 'authentication failed') OR contains(lower(message), 'could not read username') THEN 'the repository is private or its address needs a login'
+ WHEN contains(lower(message), 'not found') OR contains(lower(message), 'repository does not exist') THEN 'there is no such repository' ELSE 'the repository could not be cloned' END AS clone_message,
+ CASE WHEN regexp_matches(message, '429|RESOURCE_EXHAUSTED') THEN 'over the request limit; wait a minute and ask again' WHEN regexp_matches(message, '503|UNAVAILABLE') THEN 'the model is busy; try again in a few seconds'
+ WHEN regexp_matches(message, '404|NOT_FOUND') THEN 'there is no model of that name; check the settings' WHEN regexp_matches(message, '401|403|PERMISSION') THEN 'the key was refused; check the settings' ELSE 'no answer was made; try again later' END AS service_message FROM m""",
     "calls_in_window": """WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS s FROM events QUALIFY row_number() OVER (PARTITION BY event_id) = 1)
 SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n FROM e""",
+    "best_variant": f"WITH {_METRICS}, me AS (SELECT variant, {_MEASURES} FROM co GROUP BY variant) SELECT variant, mrr FROM me ORDER BY mrr DESC, variant DESC LIMIT 1",
+    "retrieval_report": f"WITH {_METRICS} SELECT category, " + ", ".join(f"round(avg(CASE WHEN correct <= 1 THEN 1.0 ELSE 0.0 END) FILTER (variant = '{v}'), 6) AS {v}" for v in ("semantic", "keyword", "hybrid", "hybrid_rerank")) + " FROM co GROUP BY category",
+    "keyword_misses": f"""WITH {_BM25}, co AS ({_correct('kr')}), rf AS (
+SELECT query_id, file_path, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), file_path) AS fr FROM kr JOIN ch USING (point_id) WHERE rank <= 10 GROUP BY query_id, file_path),
+b AS (SELECT query_id, string_agg(file_path, ' ' ORDER BY fr) AS files FROM rf WHERE fr <= 3 GROUP BY query_id)
+SELECT co.query_id, category, correct::INTEGER AS correct, files FROM co LEFT JOIN b USING (query_id) WHERE correct IS NULL OR correct <> 1""",
+    "formatted_hits": f"""WITH {_BM25.replace("question AS query", "CASE WHEN item_id % 40 = 0 THEN 'qqqqzzzz' ELSE question END AS query")},
+x AS (SELECT query_id, string_agg('--- ' || {_PLACE} || ' ---' || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS t FROM kr JOIN ch USING (point_id) WHERE rank <= 3 GROUP BY query_id),
+p AS (SELECT query_id, coalesce(t, 'No results.') AS t FROM qs LEFT JOIN x USING (query_id))
+SELECT query_id, length(t)::BIGINT AS n, md5(t) AS digest FROM p""",
+    "resolved_imports": rf"""WITH {_FILES}, f AS (SELECT DISTINCT owner, name, path FROM fr),
+mo AS (SELECT owner, name, path, regexp_replace(path, '(?:/__init__)?\.py$', '') AS key FROM f WHERE path LIKE '%.py'),
+ix AS (SELECT owner, name, array_to_string(list_slice(parts, i, n), '/') AS key, arg_min(path, (n, path)) AS path FROM (
+  SELECT owner, name, path, parts, len(parts) AS n, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT owner, name, path, string_split(key, '/') AS parts FROM mo WHERE path <> '__init__.py')) GROUP BY 1, 2, 3),
+pn AS (SELECT owner, name, path AS source, lead(key) OVER (PARTITION BY owner, name ORDER BY path) AS key, lead(path) OVER (PARTITION BY owner, name ORDER BY path) AS next FROM mo),
+pe AS (SELECT pn.owner, pn.name, source, ix.path AS target FROM pn JOIN ix ON ix.owner = pn.owner AND ix.name = pn.name AND ix.key = pn.key WHERE next <> '__init__.py' AND source <> ix.path
+  AND regexp_matches(pn.key, '^[A-Za-z_][A-Za-z0-9_]*(/[A-Za-z_][A-Za-z0-9_]*)*$')),
+js AS (SELECT owner, name, path, regexp_extract(path, '^(.*/)?[^/]*$', 1) AS folder FROM f WHERE {_EXTENSION.format('path')} IN ('.js', '.ts', '.tsx')),
+jn AS (SELECT owner, name, path AS source, folder || regexp_extract(lead(path) OVER (PARTITION BY owner, name, folder ORDER BY path), '([^/]*)\.[^./]*$', 1) AS base FROM js),
+sx(place, suffix) AS (VALUES (0, ''), (1, '.ts'), (2, '.tsx'), (3, '.js'), (4, '.jsx'), (5, '/index.ts'), (6, '/index.tsx'), (7, '/index.js'), (8, '/index.jsx')),
+known AS (SELECT owner, name, path FROM mo UNION SELECT owner, name, path FROM js),
+je AS (SELECT jn.owner, jn.name, source, arg_min(k.path, place) AS target FROM jn CROSS JOIN sx JOIN known k ON k.owner = jn.owner AND k.name = jn.name AND k.path = base || suffix WHERE base IS NOT NULL GROUP BY ALL)
+SELECT DISTINCT owner, name, source, target FROM pe UNION ALL SELECT DISTINCT owner, name, source, target FROM je WHERE source <> target""",
+    "rate_limit_replay": """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS i FROM events QUALIFY row_number() OVER (PARTITION BY event_id) = 1),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS i, []::BIGINT[] AS times, false AS allowed FROM e
+  UNION ALL SELECT user_id, i, CASE WHEN len(live) < 10 THEN list_append(live, s) ELSE live END, len(live) < 10 FROM (SELECT e.user_id, e.i, e.s, list_filter(r.times, lambda t: e.s - t < 3600000000) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+SELECT user_id, count(*) AS calls, count(*) FILTER (allowed) AS allowed FROM r WHERE i > 0 GROUP BY user_id""",
+    "answer_cache_replay": """WITH e AS (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts), event_id) AS i FROM events QUALIFY row_number() OVER (PARTITION BY event_id) = 1),
+p AS (SELECT *, lag(i) OVER (PARTITION BY event_type, user_id ORDER BY i) AS before FROM e),
+h AS (SELECT p.event_type, p.i, count(DISTINCT o.user_id) AS others FROM p JOIN e o ON o.event_type = p.event_type AND o.i > p.before AND o.i < p.i WHERE p.before IS NOT NULL GROUP BY 1, 2)
+SELECT p.event_type, count(*) AS requests, count(*) FILTER (p.before IS NOT NULL AND coalesce(h.others, 0) < 64) AS hits FROM p LEFT JOIN h USING (event_type, i) GROUP BY p.event_type""",
 }
+# the same over every labelled question
+ORACLE |= {f"{k}_all": ORACLE[k].replace(" WHERE item_id % 20 = 0", "") for k in ("retrieval_metrics", "retrieval_by_category", "keyword_misses")}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import LIMITS, REFUSAL_MARKERS
@@ -221,6 +221,20 @@ def import_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.dependency_edges(T.file_texts(spark, d))
 
 
+def resolved_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of a repository in which every module imports the one after it and every script the one after it in its folder: the stored files' paths, with texts that resolve."""
+    files = T.file_texts(spark, d).select("owner", "name", "path").distinct()
+    python = files.where(F.col("path").endswith(".py"))
+    after = F.lead("path").over(Window.partitionBy("owner", "name").orderBy("path"))
+    python = python.withColumn("next", after).withColumn("content", F.concat(F.lit("import "), F.replace(graph.module_key(F.col("next")), F.lit("/"), F.lit(".")), F.lit("\n")))
+    scripts = files.where(text.file_extension(F.col("path")).isin(".js", ".ts", ".tsx")).withColumn("folder", F.regexp_extract("path", "^(.*/)?[^/]*$", 1))
+    after = F.lead("path").over(Window.partitionBy("owner", "name", "folder").orderBy("path"))
+    stem = F.regexp_extract("next", r"([^/]*)\.[^./]*$", 1)
+    scripts = scripts.withColumn("next", after).withColumn("content", F.concat(F.lit("import x from './"), stem, F.lit("'\n")))
+    columns = ["owner", "name", "path", "content"]
+    return graph.dependency_edges(python.select(columns).unionByName(scripts.select(columns)))
+
+
 def python_imports(spark: SparkSession, d: str) -> DataFrame:
     return graph.python_imports(T.file_texts(spark, d)).groupBy("level", "module").agg(F.count("*").alias("files"))
 
@@ -256,7 +270,16 @@ def retrieval_by_category(spark: SparkSession, d: str) -> DataFrame:
 
 def _misses(spark: SparkSession, d: str, questions: Questions) -> DataFrame:
     files = evaluate.ranked_files(_located(spark, d, _keyword(spark, d, 10, questions)))
-    return evaluate.misses(evaluate.first_correct(files, questions(spark, d)), files)
+    return evaluate.misses(evaluate.first_correct(files, questions(spark, d)), files).withColumn("files", F.array_join("files", " "))
+
+
+def best_variant(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.best_variant(retrieval_metrics(spark, d))
+
+
+def retrieval_report(spark: SparkSession, d: str) -> DataFrame:
+    """Recall at 1 by category, the variants side by side."""
+    return evaluate.side_by_side(retrieval_by_category(spark, d), ["semantic", "keyword", "hybrid", "hybrid_rerank"])
 
 
 def keyword_misses(spark: SparkSession, d: str) -> DataFrame:
@@ -286,6 +309,13 @@ def reference_listing(spark: SparkSession, d: str) -> DataFrame:
     return prompts.listing(hits)
 
 
+def formatted_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Three hits as a tool gives them to a model; every other question asks for what no chunk holds."""
+    q = T.eval_questions(spark, d).select("query_id", F.when(F.col("query_id") % 40 == 0, F.lit("qqqqzzzz")).otherwise(F.col("query")).alias("query"))
+    hits = _index(spark, d).keyword(q, 3).select("query_id", "rank", "point_id").join(T.chunks(spark, d).select("point_id", "file_path", "start_line", "end_line", "symbol_type", "symbol_name", "content"), "point_id")
+    return prompts.formatted(q, hits).select("query_id", F.length("text").cast("bigint").alias("n"), F.md5("text").alias("digest"))
+
+
 def test_files(spark: SparkSession, d: str) -> DataFrame:
     """Tests among the hybrid pool, best five of a query: the cut comes after the filter."""
     pool = _located(spark, d, _hybrid(spark, d, LIMITS.pool)).where(F.contains(F.lower("file_path"), F.lit("test")))
@@ -309,7 +339,7 @@ _MESSAGES = ["fatal: Could not resolve host: x", "Failed to connect to y", "fata
 def failure_statuses(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([(m,) for m in _MESSAGES], "message string")
     m = F.col("message")
-    return rows.select("message", addresses.clone_failure_status(m).alias("clone_status"), addresses.service_failure_status(m).alias("service_status"), addresses.retriable(m).alias("retriable"))
+    return rows.select("message", addresses.clone_failure_status(m).alias("clone_status"), addresses.service_failure_status(m).alias("service_status"), addresses.retriable(m).alias("retriable"), addresses.clone_failure_message(m).alias("clone_message"), addresses.service_failure_message(m).alias("service_message"))
 
 
 def rate_limit_replay(spark: SparkSession, d: str) -> DataFrame:
@@ -335,8 +365,8 @@ QUERIES = {
     for f in (
         scan_selection, scan_skip_reasons, scan_totals, count_by_extension, count_by_directory, largest_files, secret_files, line_counts, line_windows, symbol_chunking, chunk_totals,
         count_by_symbol_type, chunk_previews, token_counts, document_frequency, inverse_frequency, bm25_search, vector_topk, embedding_buckets, semantic_search, hybrid_search, reranked_search,
-        citation_check, citation_containment, unverified_citations, refusal_rates, snapshot_difference, reindex_summary, reindexed_windows, kept_chunks, module_index, script_imports, import_edges,
-        python_imports, dependency_nodes, retrieval_metrics, retrieval_by_category, keyword_misses, retrieval_metrics_all, retrieval_by_category_all, keyword_misses_all, answer_prompts, reference_listing, test_files, evidence, repository_references, failure_statuses,
+        citation_check, citation_containment, unverified_citations, refusal_rates, snapshot_difference, reindex_summary, reindexed_windows, kept_chunks, module_index, script_imports, import_edges, resolved_imports,
+        python_imports, dependency_nodes, retrieval_metrics, retrieval_by_category, best_variant, retrieval_report, keyword_misses, retrieval_metrics_all, retrieval_by_category_all, keyword_misses_all, answer_prompts, reference_listing, formatted_hits, test_files, evidence, repository_references, failure_statuses,
         rate_limit_replay, calls_in_window, answer_cache_replay,
     )
 }
