@@ -15,10 +15,11 @@ Repeated rows of a document count once; the one with the greatest size is kept s
 from __future__ import annotations
 
 import base64
+import hashlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +37,27 @@ SHAPES = ((32, 3), (32, 2), (64, 3), (64, 2), (128, 2), (192, 2))
 GROUP_ROWS = 500_000
 
 
-@lru_cache(maxsize=2)
-def _encoding(path: str):
+_MADE: dict[str, object] = {}
+
+
+def _encoding(name: str, vocabulary: bytes):
+    """The tokenizer of a vocabulary; made once in a process."""
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    if name not in _MADE:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
+        _MADE[name] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _MADE[name]
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, tokens) of the whole text; null has 0."""
+    """(doc_id, tokens) of the whole text; null has 0. The vocabulary file is read by the driver and sent to the executors, a megabyte or so."""
+    vocabulary = Path(tokenizer).read_bytes()
+    name = f"{tokenizer}-{hashlib.sha1(vocabulary).hexdigest()}"
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(tokenizer).encode_ordinary
+        encode = _encoding(name, shared.value).encode_ordinary
         for b in batches:
             sizes = [len(encode(t)) if t else 0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "tokens"])

@@ -113,3 +113,13 @@ def test_pack_in_spark(spark, monkeypatch):
     f = P.filling(P.pack(df, 32), 32).first()
     assert f.containers == len(used) and f.tokens == sum(used.values())
     assert P.pack(df.limit(0), 32).count() == 0 and P.filling(P.pack(df.limit(0), 32), 32).first().containers == 0
+
+
+def test_filling_of_varied_texts(spark):
+    """Texts of the lengths a crawl has: within one percent of the least number of containers at every capacity."""
+    rng = np.random.default_rng(9)
+    lengths = np.clip(rng.lognormal(5.2, 1.1, 3000), 3, 9000).astype(int)
+    df = spark.createDataFrame([(i, " ".join(["word"] * int(n))) for i, n in enumerate(lengths)], "doc_id bigint, text string").repartition(4).cache()
+    for capacity in (512, 2048, 8192):
+        f = P.filling(P.pack(df, capacity), capacity).first()
+        assert f.containers <= 1.01 * f.least_containers + 1, (capacity, f)
