@@ -77,9 +77,16 @@ def search(chunks: DataFrame, queries: DataFrame, limit: int = 5, k1: float = LI
 
 
 def posting_rows(tokens: DataFrame) -> DataFrame:
-    """(term, point_id, tf, dl); a null term stands for the document itself, so one without a token counts too."""
-    sized = tokens.select("point_id", F.size("tokens").alias("dl"), F.concat("tokens", F.array(F.lit(None).cast("string"))).alias("terms"))
-    return sized.select("point_id", "dl", F.explode_outer("terms").alias("term")).groupBy("point_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "point_id", "tf", "dl")
+    """(term, point_id, tf, dl); a null term stands for the document itself, so one without a token counts too.
+
+    Counted inside each document's sorted tokens, where every run of one term begins at a place the next run's begin is subtracted from: no shuffle.
+    """
+    bag = tokens.select("point_id", F.size("tokens").alias("dl"), F.sort_array("tokens").alias("t"))
+    starts = F.filter(F.sequence(F.lit(1), F.col("dl")), lambda i: (i == 1) | (F.element_at("t", i) != F.element_at("t", F.greatest(i - 1, F.lit(1)))))
+    begun = bag.select("point_id", "dl", "t", F.when(F.col("dl") > 0, starts).otherwise(F.array().cast("array<int>")).alias("s"))
+    runs = F.zip_with("s", F.concat(F.slice("s", 2, F.greatest(F.size("s"), F.lit(1))), F.array(F.col("dl") + 1)), lambda a, b: F.when(a.isNotNull(), F.struct(F.element_at("t", a).alias("term"), (b - a).cast("bigint").alias("tf"))))
+    own = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("bigint").alias("tf")))
+    return begun.select("point_id", "dl", F.explode_outer(F.concat(F.filter(runs, lambda r: r.isNotNull()), own)).alias("r")).select("r.term", "point_id", "r.tf", "dl")
 
 
 #: Distinct query terms up to which a search names them in its filters; beyond, they are joined.

@@ -12,11 +12,11 @@ import json
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import EngineError
 from ..operators import bm25, vector
 from . import folders
 from .checkpoints import shared_folder
@@ -27,58 +27,83 @@ PART_ROWS, WRITERS = 20_000_000, 4
 KEPT = 4
 
 
-@dataclass(frozen=True)
 class SearchIndex:
-    spark: SparkSession
-    path: str
-    parts: int
-    n: int
-    avgdl: float
-    mean: float
+    """An index in a folder. One of a stored table is written part by part, each at the first search that reads it; one of the engine is there whole."""
+
+    def __init__(self, spark: SparkSession, path: str, chunks: Callable[[], DataFrame] | None = None, embed: Callable[..., DataFrame] = vector.embed) -> None:
+        self.spark, self.path, self._chunks, self._embed = spark, path, chunks, embed
+        self._stats: dict | None = None
+        self._vectors = chunks is None
+
+    @property
+    def stats(self) -> dict:
+        """parts, n, avgdl and mean of the postings."""
+        if self._stats is None:
+            text = folders.read_text(self.spark, f"{self.path}/postings.json")
+            if text is None:
+                if self._chunks is None:
+                    raise EngineError("there is no index", 404)
+                write_postings(self._chunks(), self.path)
+                text = folders.read_text(self.spark, f"{self.path}/postings.json")
+            self._stats = json.loads(text)
+        return self._stats
 
     def postings(self) -> DataFrame:
         # an index of no text has no file to take the schema from
-        return self.spark.read.schema("term string, point_id bigint, tf bigint, dl int, part int").parquet(f"{self.path}/postings")
+        parts = self.stats["parts"]
+        rows = self.spark.read.schema("term string, point_id bigint, tf bigint, dl int, part int").parquet(f"{self.path}/postings")
+        return rows.where(F.col("part") < parts)
 
     def terms(self) -> DataFrame:
+        self.stats  # noqa: B018
         return self.spark.read.parquet(f"{self.path}/terms")
 
     def vectors(self) -> DataFrame:
+        if not self._vectors:
+            write_vectors(self._chunks(), self.path, self._embed)
+            self._vectors = True
         return self.spark.read.parquet(f"{self.path}/vectors")
 
     def keyword(self, queries: DataFrame, limit: int) -> DataFrame:
-        return bm25.search_postings(self.postings(), self.terms(), (self.n, self.avgdl, self.mean), queries, limit, self.parts)
+        s = self.stats
+        return bm25.search_postings(self.postings(), self.terms(), (s["n"], s["avgdl"], s["mean"]), queries, limit, s["parts"])
 
-    def semantic(self, queries: DataFrame, limit: int, embed: Callable[..., DataFrame] = vector.embed) -> DataFrame:
-        return vector.search(self.vectors(), embed(queries, "query_id", "query"), limit)
+    def semantic(self, queries: DataFrame, limit: int, embed: Callable[..., DataFrame] | None = None) -> DataFrame:
+        return vector.search(self.vectors(), (embed or self._embed)(queries, "query_id", "query"), limit)
 
 
-def write_index(chunks: DataFrame, path: str, embed: Callable[..., DataFrame] | None = vector.embed) -> SearchIndex:
-    """Writes the index of chunks(point_id, file_path, content, symbol_name) and opens it. Chunks with an embedding column keep it."""
+def write_postings(chunks: DataFrame, path: str) -> None:
+    """Postings of chunks(point_id, file_path, content, symbol_name), their document frequencies and statistics, in one shuffle of the postings."""
     spark = chunks.sparkSession
-    counted = bm25.posting_rows(bm25.tokenized(chunks))
-    counted.write.parquet(f"{path}/counted")
-    rows = spark.read.parquet(f"{path}/counted")
-    parts = max(1, rows.count() // PART_ROWS)
-    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
-    tasks = min(parts * WRITERS, max(WRITERS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    spread = rows.where("term IS NOT NULL").withColumn("part", part).repartition(tasks, "part", F.pmod(F.xxhash64("point_id"), F.lit(WRITERS)))
+    # a posting for every twelve characters, about; only the number of folders follows from this
+    parts = max(1, int(chunks.agg(F.sum(F.length("content"))).first()[0] or 0) // 12 // PART_ROWS)
+    rows = bm25.posting_rows(bm25.tokenized(chunks))
+    # the rows of the documents themselves have a folder of their own
+    part = F.when(F.col("term").isNull(), F.lit(parts)).otherwise(F.pmod(F.xxhash64("term"), F.lit(parts))).cast("int")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts)
+    spread = rows.withColumn("part", part).repartition(tasks, "part", F.pmod(F.xxhash64("point_id"), F.lit(max(WRITERS, -(-tasks // parts)))))
     spread.sortWithinPartitions("part", "term").write.partitionBy("part").option("parquet.block.size", 16_000_000).parquet(f"{path}/postings")
-    rows.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{path}/terms")
-    sums = rows.where("term IS NULL").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    stored = spark.read.schema("term string, point_id bigint, tf bigint, dl int, part int").parquet(f"{path}/postings")
+    stored.where(F.col("part") < parts).groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    sums = stored.where(F.col("part") == parts).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     mean = spark.read.parquet(f"{path}/terms").agg(F.avg(bm25.raw_idf(F.lit(sums.n), F.col("df"))).alias("mean")).first().mean
-    folders.delete(spark, f"{path}/counted")
-    if "embedding" in chunks.columns:
-        chunks.select("point_id", "embedding").where("embedding IS NOT NULL").write.parquet(f"{path}/vectors")
-    elif embed is not None:
-        embed(chunks, "point_id", "content").write.parquet(f"{path}/vectors")
-    folders.write_text(spark, f"{path}/index.json", json.dumps({"parts": parts, "n": sums.n, "avgdl": sums.avgdl or 0.0, "mean": mean or 0.0}))
-    return open_index(spark, path)
+    folders.write_text(spark, f"{path}/postings.json", json.dumps({"parts": parts, "n": sums.n, "avgdl": sums.avgdl or 0.0, "mean": mean or 0.0}))
+
+
+def write_vectors(chunks: DataFrame, path: str, embed: Callable[..., DataFrame] = vector.embed) -> None:
+    """(point_id, embedding); chunks with an embedding column keep it."""
+    own = chunks.select("point_id", "embedding").where("embedding IS NOT NULL") if "embedding" in chunks.columns else embed(chunks, "point_id", "content")
+    own.write.parquet(f"{path}/vectors")
+
+
+def write_index(chunks: DataFrame, path: str, embed: Callable[..., DataFrame] = vector.embed) -> SearchIndex:
+    write_postings(chunks, path)
+    write_vectors(chunks, path, embed)
+    return SearchIndex(chunks.sparkSession, path, embed=embed)
 
 
 def open_index(spark: SparkSession, path: str) -> SearchIndex | None:
-    found = folders.read_text(spark, f"{path}/index.json")
-    return SearchIndex(spark, path, **json.loads(found)) if found else None
+    return SearchIndex(spark, path) if folders.exists(spark, f"{path}/postings.json") else None
 
 
 _TABLES: OrderedDict[tuple, SearchIndex] = OrderedDict()
@@ -88,7 +113,7 @@ def table_index(spark: SparkSession, source: str, chunks: Callable[[], DataFrame
     """The index of a stored table, built at its first search and again once the table's files change."""
     key = (spark.sparkContext.applicationId, source, folders.fingerprint(spark, source))
     if key not in _TABLES:
-        _TABLES[key] = write_index(chunks(), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+        _TABLES[key] = SearchIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", chunks)
         while len(_TABLES) > KEPT:
             _drop(_TABLES.popitem(last=False)[1])
     _TABLES.move_to_end(key)

@@ -60,7 +60,7 @@ class IndexStore:
             folders.delete(self.spark, f"{base}/{part}")
         state.write.parquet(f"{base}/state")
         stored = self.spark.read.parquet(f"{base}/chunks")
-        write_index(stored, f"{base}/index", embed=None)
+        write_index(stored, f"{base}/index")
         described = {"version": version, "commit": commit, "chunks": stored.count(), "path": base}
         folders.write_text(self.spark, self._pointer(owner, name), json.dumps(described))
         return described

@@ -48,7 +48,7 @@ def test_background_job(spark, tmp_path):
     before = short.store.version("o", "n")
     short.store.delete_file("o", "n", "README.md")
     short.store.prune("o", "n", [])
-    assert short.store.version("o", "n") != before and short.store.search_index("o", "n").n == short.store.count("o", "n")
+    assert short.store.version("o", "n") != before and short.store.search_index("o", "n").stats["n"] == short.store.count("o", "n")
     short.store.reset("o", "n")
     assert not short.store.exists("o", "n") and short.store.count("o", "n") == 0
 
