@@ -32,10 +32,18 @@ def write_chunks(chunks: DataFrame, path: str, checkpoint: str):
     return chunks.writeStream.format("parquet").partitionBy("owner", "name").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
-def limit_stream(calls: DataFrame, limit: int = LIMITS.rate_calls, seconds: float = LIMITS.rate_seconds) -> DataFrame:
-    """calls(key string, second double) with allowed; state is the recent admitted calls of a key, at most ``limit`` numbers."""
+def limit_stream(calls: DataFrame, limit: int = LIMITS.rate_calls, seconds: float = LIMITS.rate_seconds, idle: float | None = None) -> DataFrame:
+    """calls(key string, second double) with allowed; state is the recent admitted calls of a key, at most ``limit`` numbers.
+
+    With ``idle``, a key that makes no call for the longer of these seconds and the limiter's own window is forgotten, so the state of a stream that runs on does not
+    grow with all keys ever seen. Such a stream wakes up to forget, so it never ends by itself: leave ``idle`` out under a trigger that stops once all input is read.
+    """
+    wait = int(1000 * max(idle or 0.0, seconds))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         limiter = RateLimiter(limit, seconds)
         if state.exists:
             limiter.times.extend(state.get[0])
@@ -43,8 +51,10 @@ def limit_stream(calls: DataFrame, limit: int = LIMITS.rate_calls, seconds: floa
             b = b.sort_values("second")
             yield b.assign(allowed=[limiter.allow(t) for t in b["second"]])[["key", "second", "allowed"]]
         state.update((list(limiter.times),))
+        if idle is not None:
+            state.setTimeoutDuration(wait)
 
-    return calls.groupBy("key").applyInPandasWithState(step, "key string, second double, allowed boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    return calls.groupBy("key").applyInPandasWithState(step, "key string, second double, allowed boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, delay: str = "10 minutes", window: str = "1 minute") -> DataFrame:
