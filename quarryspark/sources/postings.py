@@ -1,6 +1,6 @@
 """Search indexes that are written once and read by every search: postings, document frequencies, vectors.
 
-Postings lie in folders by the hash of their term, each written by a few tasks, so the postings of a frequent term are spread; within a file they are sorted by
+Terms are 64-bit hashes. Postings lie in folders by their term, each written by a few tasks, so the postings of a frequent term are spread; within a file they are sorted by
 term, so a search reads the row groups of its terms. An index belongs to one state of its chunks: the engine writes one per version, and
 ``table_index`` one per content of a stored table, kept for the session.
 """
@@ -25,6 +25,7 @@ from .checkpoints import shared_folder
 PART_ROWS, WRITERS = 20_000_000, 4
 #: Indexes of stored tables kept in a session; the one used longest ago is deleted first.
 KEPT = 4
+_POSTINGS = "term bigint, point_id bigint, tf int, dl int, part int"
 
 
 class SearchIndex:
@@ -51,7 +52,7 @@ class SearchIndex:
     def postings(self) -> DataFrame:
         # an index of no text has no file to take the schema from
         parts = self.stats["parts"]
-        rows = self.spark.read.schema("term string, point_id bigint, tf bigint, dl int, part int").parquet(f"{self.path}/postings")
+        rows = self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings")
         return rows.where(F.col("part") < parts)
 
     def terms(self) -> DataFrame:
@@ -79,11 +80,11 @@ def write_postings(chunks: DataFrame, path: str) -> None:
     parts = max(1, int(chunks.agg(F.sum(F.length("content"))).first()[0] or 0) // 12 // PART_ROWS)
     rows = bm25.posting_rows(bm25.tokenized(chunks))
     # the rows of the documents themselves have a folder of their own
-    part = F.when(F.col("term").isNull(), F.lit(parts)).otherwise(F.pmod(F.xxhash64("term"), F.lit(parts))).cast("int")
+    part = F.when(F.col("term").isNull(), F.lit(parts)).otherwise(F.pmod(F.col("term"), F.lit(parts))).cast("int")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts)
     spread = rows.withColumn("part", part).repartition(tasks, "part", F.pmod(F.xxhash64("point_id"), F.lit(max(WRITERS, -(-tasks // parts)))))
     spread.sortWithinPartitions("part", "term").write.partitionBy("part").option("parquet.block.size", 16_000_000).parquet(f"{path}/postings")
-    stored = spark.read.schema("term string, point_id bigint, tf bigint, dl int, part int").parquet(f"{path}/postings")
+    stored = spark.read.schema(_POSTINGS).parquet(f"{path}/postings")
     stored.where(F.col("part") < parts).groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{path}/terms")
     sums = stored.where(F.col("part") == parts).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     mean = spark.read.parquet(f"{path}/terms").agg(F.avg(bm25.raw_idf(F.lit(sums.n), F.col("df"))).alias("mean")).first().mean
