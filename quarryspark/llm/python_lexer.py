@@ -78,6 +78,9 @@ def _format_end(text: str, at: int, quote: str, deep: int = 0) -> int:
                 at += 1
 
 
+_COMPOUND = frozenset("if elif else for while with try except finally def class async match case".split())
+
+
 def find_error(text: str) -> str | None:
     """The kind of the first syntax error the lexer meets, None if it meets none."""
     if text.startswith("﻿"):
@@ -88,8 +91,9 @@ def find_error(text: str) -> str | None:
     indents = [0]
     state, line_start, expect_block = START, True, False
     first = last = ""
-    colon = imported = False
+    colon = imported = negated = decorated = False
     lambdas = [0]
+    subscript: list[bool] = []
     tries: list[int] = []
     at, n = 0, len(text)
     match = _TOKEN.match
@@ -141,8 +145,13 @@ def find_error(text: str) -> str | None:
         at = m.end()
         if kind == "skip":
             continue
+        if negated and m.group() != "in":
+            return "adjacent"
+        negated = False
         if kind == "name":
             word = m.group()
+            if state == START and (last == ":" and word in _COMPOUND or not last and word in ("and", "or", "is", "in", "as")):
+                return "header"
             if word in _VALUE:
                 if state == OPERAND:
                     return "adjacent"
@@ -155,6 +164,7 @@ def find_error(text: str) -> str | None:
             elif word in _PREFIX:
                 if state == OPERAND and not (word == "not") and not (word == "async"):
                     return "adjacent"
+                negated = word == "not" and state == OPERAND
                 if word == "lambda":
                     lambdas[-1] += 1
                 state = OPERATOR
@@ -172,21 +182,29 @@ def find_error(text: str) -> str | None:
                 if not stack and not lambdas[-1]:
                     if state == OPERATOR and last not in _ALONE and last not in ("*",):
                         return "premature"
+                    if last == ":":
+                        return "premature"
                     colon = True
                     state = START
                 else:
+                    if lambdas[-1] and last == "=":
+                        return "premature"
                     lambdas[-1] -= lambdas[-1] > 0
                     state = OPERATOR
             elif op == ";":
                 state = START
             elif op in ("-", "+", "~", "*", "**", "@", ".", "/"):
+                # between two operands, not the mark of an argument list
+                op = op + op if state == OPERAND and op in "*/" else op
                 state = OPERATOR
             else:
                 if state != OPERAND and op not in (",", "->") :
                     return "premature"
                 if op == "," and (state == START or not stack and first in ("raise", "except", "print")):
                     return "premature"
-                if op == "," and state == OPERATOR and last not in ("*", "/", ":", "lambda", "(", "[", "{"):
+                if op == "," and state == OPERATOR and last not in ("*", "/", ":", "["):
+                    return "premature"
+                if op == "=" and not stack and not lambdas[-1] and first in ("if", "elif", "while") and not colon:
                     return "premature"
                 state = OPERATOR
             last = op
@@ -198,9 +216,10 @@ def find_error(text: str) -> str | None:
                 continue
             if state == OPERATOR and last not in _ALONE and last not in (",", "*"):
                 return "premature"
-            if first in _HEADER and not colon or first == "from" and not imported:
+            if first in _HEADER and not colon or first == "from" and not imported or lambdas[-1] or last == ":" and first not in _COMPOUND:
                 return "header"
             expect_block = last == ":" and colon
+            decorated = first == "@"
             line_start = True
             continue
         if kind == "text":
@@ -213,6 +232,7 @@ def find_error(text: str) -> str | None:
             if c == "{" and state == OPERAND and not (last in ("match", "case") and first == last):
                 return "adjacent"
             stack.append(c)
+            subscript.append(c == "[" and state == OPERAND)
             lambdas.append(0)
             state, last = OPERATOR, c
             continue
@@ -220,7 +240,8 @@ def find_error(text: str) -> str | None:
             c = m.group()
             if not stack or stack.pop() != _PARTNER[c]:
                 return "delimiter"
-            lambdas.pop()
+            if lambdas.pop() or subscript.pop() and last == "[" or c == "}" and last == ":":
+                return "premature"
             if state == OPERATOR and last not in (",", ":", "*", "/", "(", "[", "{", "yield"):
                 return "premature"
             state, last = OPERAND, c
@@ -256,9 +277,12 @@ def find_error(text: str) -> str | None:
     if not line_start:
         if state == OPERATOR and last not in _ALONE and last not in (",", "*"):
             return "premature"
-        if first in _HEADER and not colon or first == "from" and not imported:
+        if first in _HEADER and not colon or first == "from" and not imported or lambdas[-1] or last == ":" and first not in _COMPOUND:
             return "header"
         expect_block = last == ":" and colon
+        decorated = first == "@"
+    if decorated:
+        return "premature"
     return "premature" if expect_block else "block" if tries else None
 
 
