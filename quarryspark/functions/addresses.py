@@ -77,3 +77,15 @@ def clone_failure_message(message: Column) -> Column:
     """What a failed clone means, by its status."""
     status = clone_failure_status(message)
     return F.when(status == 403, "the repository is private or its address needs a login").when(status == 404, "there is no such repository").when(F.lower(message).rlike("could not resolve host|failed to connect"), "the host cannot be reached").otherwise("the repository could not be cloned")
+
+
+def clone_failure(message: str) -> tuple[str, int]:
+    """(text for the user, status) of a failed clone's output."""
+    low = message.lower()
+    if "could not resolve host" in low or "failed to connect" in low:
+        return "the host cannot be reached", 502
+    if "authentication failed" in low or "could not read username" in low:
+        return "the repository is private or its address needs a login", 403
+    if "not found" in low or "repository does not exist" in low:
+        return "there is no such repository", 404
+    return "the repository could not be cloned", 502

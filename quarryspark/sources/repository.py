@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import subprocess
+import uuid
 from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
+from ..functions.addresses import check_reference, clone_failure
 from ..functions.text import count_lines
 from ..operators.scan import decode_text
 
@@ -29,6 +33,26 @@ def head_commit(path: str | Path) -> str:
         return UNKNOWN_COMMIT
 
 
+def clone(address: str, root: str | Path, owner: str, name: str, seconds: int = 300) -> Path:
+    """A shallow checkout of an address below root; one that is there is left as it is. A failed clone leaves nothing behind."""
+    check_reference(owner, name)
+    target = Path(root) / owner / name
+    if (target / ".git").exists():
+        return target
+    target.parent.mkdir(parents=True, exist_ok=True)
+    part = target.with_name(f".{name}.{uuid.uuid4().hex}")
+    try:
+        done = subprocess.run(["git", "clone", "--depth", "1", "--", address, str(part)], capture_output=True, text=True, timeout=seconds, env={**os.environ, "GIT_TERMINAL_PROMPT": "0"})
+        if done.returncode:
+            raise EngineError(*clone_failure(done.stderr))
+        part.rename(target)
+    except subprocess.TimeoutExpired as e:
+        raise EngineError("cloning took too long", 504) from e
+    finally:
+        shutil.rmtree(part, ignore_errors=True)
+    return target
+
+
 def pull_latest(path: str | Path) -> str:
     _git(Path(path), "fetch", "--depth", "1", "origin", seconds=120)
     _git(Path(path), "reset", "--hard", "FETCH_HEAD")

@@ -130,6 +130,30 @@ def test_checkout(spark, tmp_path):
     assert "ignored.py" not in rows and rows["bin.py"] == "binary_veya_bozuk" and rows["app/auth.py"] is None
 
 
+def test_clone(spark, tmp_path):
+    from quarryspark.functions import addresses
+    from quarryspark.sources.repository import clone, head_commit, tracked_files
+
+    origin = tmp_path / "origin"
+    origin.mkdir()
+    (origin / "a.py").write_text("x = 1\n")
+    for args in (["init", "-q"], ["add", "-A"], ["-c", "user.name=t", "-c", "user.email=t@t", "commit", "-qm", "x"]):
+        subprocess.run(["git", "-C", str(origin), *args], check=True)
+    there = clone(f"file://{origin}", tmp_path / "roots", "o", "n")
+    assert tracked_files(there) == ["a.py"] and head_commit(there) == head_commit(origin) and clone("file:///gone", tmp_path / "roots", "o", "n") == there
+    with pytest.raises(EngineError) as e:
+        clone(f"file://{tmp_path}/gone", tmp_path / "roots", "o", "other")
+    assert e.value.status in (404, 502) and not (tmp_path / "roots" / "o" / "other").exists() and len(list((tmp_path / "roots" / "o").iterdir())) == 1
+    with pytest.raises(EngineError):
+        clone("x", tmp_path, "..", "n")
+    messages = ["fatal: Could not resolve host: x", "Authentication failed", "ERROR: Repository not found.", "disk full"]
+    from pyspark.sql import functions as F
+
+    m = spark.createDataFrame([(x,) for x in messages], "m string")
+    rows = m.select(addresses.clone_failure_message(F.col("m")), addresses.clone_failure_status(F.col("m"))).collect()
+    assert [tuple(r) for r in rows] == [addresses.clone_failure(x) for x in messages]
+
+
 def test_streaming(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([("o", "n", p, c) for p, c in MINI.items()], FILES).write.parquet(src)
