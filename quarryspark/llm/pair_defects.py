@@ -9,7 +9,7 @@ echo, foreign or unfinished. Labels and features are different views, so the fie
 * *Features*: the clause's words and pairs of words, hashed; its last word and the shape of its end; its language by a word and trigram model learned from the sample; its overlap with the question;
   its kind and place. Cues are features too, hidden in half of the training clauses, so that words have to carry a tag without them. Verdicts never read the flag.
 
-The sample holds at most ``SAMPLE`` pairs, those with the least hash; the bound is a parameter, everything else covers all pairs and whole answers. The share of words under
+The sample holds at most ``SAMPLE`` pairs of at most ``SAMPLE_CHARS`` characters, those with the least hash; the bound is a parameter, everything else covers all pairs and whole answers. The share of words under
 each tag decides the defect.
 
 ``empty``: a null answer, or one without a word beside stand-ins for a missing answer. A null or empty question has no language and
@@ -41,6 +41,8 @@ WIDTH, PIECE = 1 << 15, 64
 MARGIN = 6.0
 #: Corrupted answers are made until there are about so many, or one of each sampled answer.
 MADE = 1500
+#: Characters of a pair up to which it may be in the sample, so what the driver holds is bounded; verdicts cover pairs of any length.
+SAMPLE_CHARS = 20_000
 
 _WORD = re.compile(r"[^\W_]+")
 # fixed values: stand-ins for a missing answer
@@ -630,7 +632,7 @@ def _pairs(pairs: DataFrame) -> DataFrame:
 
 
 def train(pairs: DataFrame, sample: int = SAMPLE) -> Model:
-    rows = bounded_sample(_pairs(pairs).where("answer IS NOT NULL"), sample, "id")
+    rows = bounded_sample(_pairs(pairs).where((F.length("answer") + F.length(F.coalesce("question", F.lit("")))) <= SAMPLE_CHARS), sample, "id")
     return fit_model(sorted({(r.question, r.answer, r.flag) for r in rows}, key=lambda r: xxhash.xxh64_intdigest(f"{r[0]}\n{r[1]}")))
 
 
