@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import atexit
 import json
+import shutil
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,10 +124,12 @@ def table_index(spark: SparkSession, source: str, chunks: Callable[[], DataFrame
 
 
 def _drop(index: SearchIndex) -> None:
-    try:
+    """Deletes an index; on a local path also where the session has ended before."""
+    where = urlparse(index.path)
+    if where.scheme in ("", "file"):
+        shutil.rmtree(where.path, ignore_errors=True)
+    elif index.spark.sparkContext._jsc is not None:
         folders.delete(index.spark, index.path)
-    except Exception:  # the session may have ended before
-        pass
 
 
 @atexit.register
