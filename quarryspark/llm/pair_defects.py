@@ -34,7 +34,7 @@ from .common import bounded_sample, require
 
 TAGS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
-SAMPLE, STEPS, RATE, PENALTY, SEED = 3000, 80, 0.25, 2e-5, 7
+SAMPLE, STEPS, RATE, PENALTY, SEED = 4000, 80, 0.25, 1e-4, 7
 #: Hashed word features, and clauses in one training piece: longer answers are fitted in several pieces.
 WIDTH, PIECE = 1 << 15, 64
 #: By how much a field has to prefer a refusal before a pair without the flag loses its label.
