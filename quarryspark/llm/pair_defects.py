@@ -34,11 +34,11 @@ from .common import bounded_sample, require
 
 TAGS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
-SAMPLE, STEPS, RATE, PENALTY, SEED = 4000, 80, 0.25, 1e-4, 7
+SAMPLE, STEPS, RATE, PENALTY, SEED = 4000, 80, 0.25, 5e-5, 7
 #: Hashed word features, and clauses in one training piece: longer answers are fitted in several pieces.
 WIDTH, PIECE = 1 << 15, 64
-#: By how much a field has to prefer a refusal before a pair without the flag loses its label.
-MARGIN = 6.0
+#: By how much a field has to prefer a refusal before a pair under the flag is labelled one, and before a pair without the flag loses its label.
+SURE, MARGIN = 1.5, 6.0
 #: Corrupted answers are made until there are about so many, or one of each sampled answer.
 MADE = 1500
 #: Characters of a pair up to which it may be in the sample, so what the driver holds is bounded; verdicts cover pairs of any length.
@@ -617,10 +617,11 @@ def fit_model(rows: list[tuple[str | None, str | None, bool | None]], steps: int
                 for i in there:
                     ids, first = matrix([read[i]])
                     y = field.decode_all(ids, first, [len(first)])[0]
+                    ahead = (field.w[ids, REFUSAL] - field.w[ids, ANSWER]).sum()
                     if rows[i][2]:
-                        # only what this was asked for: another tag stays with the labelling functions
-                        tags[i] = [REFUSAL if x == REFUSAL else ANSWER for x in y]
-                    elif set(y) == {REFUSAL} and (field.w[ids, REFUSAL] - field.w[ids, ANSWER]).sum() > MARGIN:
+                        # only what this was asked for, and clearly: another tag stays with the labelling functions
+                        tags[i] = [REFUSAL if x == REFUSAL and ahead > SURE else ANSWER for x in y]
+                    elif set(y) == {REFUSAL} and ahead > MARGIN:
                         silent.add(i)
     kept = [i for i in range(len(rows)) if i not in silent]
     return Model(tongue, fit([read[i] for i in kept] + extra, [tags[i] for i in kept] + extra_tags, steps))
