@@ -23,8 +23,8 @@ from ..operators import bm25, vector
 from . import folders
 from .checkpoints import shared_folder
 
-#: Postings in one folder, about, and tasks that write one folder.
-PART_ROWS, WRITERS = 20_000_000, 4
+#: Postings in one folder, about; tasks that write one folder, at least; postings that a task sorts, about.
+PART_ROWS, WRITERS, TASK_ROWS = 20_000_000, 4, 1_000_000
 #: Indexes of stored tables kept in a session; the one used longest ago is deleted first.
 KEPT = 4
 _POSTINGS = "term bigint, point_id bigint, tf int, dl int, part int"
@@ -79,12 +79,14 @@ def write_postings(chunks: DataFrame, path: str) -> None:
     """Postings of chunks(point_id, file_path, content, symbol_name), their document frequencies and statistics, in one shuffle of the postings."""
     spark = chunks.sparkSession
     # a posting for every twelve characters, about; only the number of folders follows from this
-    parts = max(1, int(chunks.agg(F.sum(F.length("content"))).first()[0] or 0) // 12 // PART_ROWS)
+    expected = int(chunks.agg(F.sum(F.length("content"))).first()[0] or 0) // 12
+    parts = max(1, expected // PART_ROWS)
     rows = bm25.posting_rows(bm25.tokenized(chunks))
     # the rows of the documents themselves have a folder of their own
     part = F.when(F.col("term").isNull(), F.lit(parts)).otherwise(F.pmod(F.col("term"), F.lit(parts))).cast("int")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts)
-    spread = rows.withColumn("part", part).repartition(tasks, "part", F.pmod(F.xxhash64("point_id"), F.lit(max(WRITERS, -(-tasks // parts)))))
+    # each folder's postings go to so many tasks by their document, so a frequent term is spread; one id, one task
+    writers = max(WRITERS, -(-max(int(spark.conf.get("spark.sql.shuffle.partitions")), expected // TASK_ROWS) // parts))
+    spread = rows.withColumn("part", part).repartitionById((parts + 1) * writers, F.col("part") * writers + F.pmod(F.xxhash64("point_id"), F.lit(writers)).cast("int"))
     spread.sortWithinPartitions("part", "term").write.partitionBy("part").option("parquet.block.size", 16_000_000).parquet(f"{path}/postings")
     stored = spark.read.schema(_POSTINGS).parquet(f"{path}/postings")
     stored.where(F.col("part") < parts).groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{path}/terms")
